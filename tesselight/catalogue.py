@@ -1,0 +1,6 @@
+"""All registered queries and their SQL twins."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
