@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, secrets, token_store, topk, warc
+from . import langid, minhash, mixing, secrets, token_store, topk, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, langid.train(docs))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.write(table(spark, sf_dir, "documents")).read().drop("ids")
 
@@ -39,6 +43,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_token_output": op3_token_output,
     "op4_mixing": op4_mixing,
     "op7_warc": op7_warc,
@@ -46,4 +51,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_topk": op10_exact_topk,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op10_exact_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op2_near_duplicates": minhash.ORACLE, "op4_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op10_exact_topk": topk.ORACLE}
