@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import blocks, utf8
 
@@ -157,14 +158,17 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """Predictions from the text alone, beside each document's columns ``doc_id`` and ``held_out``."""
+def classify(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
+    """Predictions from the text alone, beside doc_id and held_out.
+
+    ``carry`` returns all columns of ``docs`` instead, with ``_lang_pred`` and ``_score``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most CONTEXTS contexts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = b.column(2)
+            texts = b.column(b.num_columns - 1)
             buf, offsets = utf8(texts)
             n = len(texts)
             bits = np.zeros((n, len(m.langs)))
@@ -184,10 +188,18 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             else:
                 best, least, share = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             names = np.array([*m.langs, UNKNOWN], object)
-            pred = names[np.where(known, best, len(m.langs))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(least / np.maximum(np.diff(offsets), 1))],
-                ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, PREDICTED)
+            pred = pa.array(names[np.where(known, best, len(m.langs))], pa.string())
+            score = pa.array(np.where(known, share, 0.0))
+            own = list(b.columns)[:-1]
+            if carry:
+                yield pa.RecordBatch.from_arrays([*own, pred, score], [*kept, "_lang_pred", "_score"])
+            else:
+                yield pa.RecordBatch.from_arrays([*own, pred, score, pa.array(least / np.maximum(np.diff(offsets), 1))], [*kept, "lang_pred", "score", "bits_per_byte"])
+
+    text = F.col("text").cast("string")
+    if carry:
+        kept = docs.columns
+        schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
+        return docs.select(*docs.columns, text.alias("_text")).mapInArrow(run, schema)
+    kept = ["doc_id", "held_out"]
+    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), text).mapInArrow(run, PREDICTED)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, secrets, token_store, topk, warc
+from . import decontaminate, langid, lines, minhash, mixing, secrets, token_store, topk, warc
 from .common import table
 
 
@@ -28,10 +28,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.take(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines removed, and the SHA-256 of what is left."""
+    done = lines.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text_kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write(table(spark, sf_dir, "pages")).records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item that a document holds, with the edits between them."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "edits", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("all_spans")
 
@@ -46,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_output": op3_token_output,
     "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op7_warc": op7_warc,
+    "op8_decontamination": op8_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_topk": op10_exact_topk,
 }
