@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, minhash, mixing, secrets, token_store, topk, warc
+from . import decontaminate, langid, lines, minhash, mixing, secrets, substrings, token_store, topk, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text_kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write(table(spark, sf_dir, "pages")).records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
     "op9_secret_scan": op9_secret_scan,
