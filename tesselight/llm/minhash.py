@@ -8,13 +8,17 @@
    classes hold them, two such classes share one among the first COORDINATES - MATCHES + 1, so only
    these prefixes are posted: what stands in a common passage comes last and is skipped, and values
    that one class alone holds use up the prefix without being posted at all.
-3. Links are confirmed on full sets, without forming all pairs of a posting list: in each round a
-   class meets one other, the pivot of the posting lists that it shares most often with another
-   component; confirmed links join components, and lists within one component are skipped. After
-   ``STAR_ROUNDS`` rounds every pair that shares a list but not a component is counted on the
-   signatures and, at MATCHES or more, confirmed or refuted, so no link between components is lost.
+3. Links are confirmed on full sets, without forming all pairs of a posting list: a class meets one
+   other, the pivot that it shares most lists with; confirmed links join components, and lists
+   within one component are skipped. Classes in lists that hold several components then count the
+   shingles that they share with any other component, their reach: a link needs as much overlap,
+   so a class (such as a copy with many edits of its own) whose reach is too short meets nobody.
+   The others meet pivots again, in lists by bands of coordinates, which near copies share. What
+   is left is settled pair by pair, so no link between components is lost: a list's classes are
+   compared part by part, on reach, agreement of signatures and an upper bound of the overlap
+   from bitmaps, and the pairs that pass are confirmed or refuted on full sets.
 
-A pair of similarity 0.75 agrees in fewer than 18 of 48 coordinates with probability below 1e-6.
+A pair of similarity 0.75 agrees in fewer than 28 of 64 coordinates with probability below 1e-6.
 
 Edge cases: text that is null or has no words has an empty set, no links and is kept; rows that
 share a doc_id share its component; rows with a null doc_id take part in no link, have no component
@@ -31,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, mix, shingle_sets, utf8, written
+from .common import U64, blocks, shingle_sets, tasks, utf8, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 75  # words; percent
-COORDINATES, MATCHES = 48, 18
+COORDINATES, MATCHES = 64, 28
 PREFIX = COORDINATES - MATCHES + 1
-STAR_ROUNDS = 3
+#: Rounds over bands of BAND coordinates.
+BAND_ROUNDS, BAND = 2, 6
+#: Bits of a class's bitmap, and classes of one list that a task compares with others.
+SKETCH, PART = 4096, 512
 
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, (COORDINATES, 2), dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
@@ -106,6 +113,102 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _pivots(lists: DataFrame) -> DataFrame:
+    """(a, b): for each class the pivot, of another component, that most of its lists have.
+
+    ``lists``: (token, rep, comp). A list's pivot is its smallest class.
+    """
+    heads = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("rep", "comp")).alias("p")).where("low <> high")
+    met = lists.join(heads.select("token", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("of")), "token").where("comp <> of")
+    counted = met.groupBy("rep", "pivot").agg(F.count("*").alias("n"))
+    return counted.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("m"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.m")).alias("b"))
+
+
+def reach(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, s): how many of each class's shingles a class of another component holds too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, offsets = utf8(b.column(2))
+            for i, j in blocks(offsets):
+                hashes, at = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
+                own = [np.repeat(np.asarray(b.column(k))[i:j], np.diff(at)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(hashes.view(np.int64))], ["rep", "comp", "h"])
+
+    held = texts.join(placed, "rep").select("rep", "comp", "text").mapInArrow(run, "rep long, comp long, h long")
+    both = held.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
+    return held.join(both, "h").groupBy("rep").agg(F.count("*").alias("s"))
+
+
+def sketched(able: DataFrame, texts: DataFrame) -> DataFrame:
+    """``able`` with ``bits``: a bitmap of SKETCH bits that has each shingle's bit set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, offsets = utf8(b.column(1))
+            bits = np.zeros((b.num_rows, SKETCH), bool)
+            for i, j in blocks(offsets):
+                hashes, at = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
+                bits[np.repeat(np.arange(i, j), np.diff(at)), (hashes % U64(SKETCH)).astype(np.int64)] = True
+            packed = np.packbits(bits, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], ["rep", "bits"])
+
+    return able.join(texts.join(able.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(run, "rep long, bits binary"), "rep")
+
+
+def left_over(near: DataFrame) -> DataFrame:
+    """(a, b): pairs that share a list, not a component, and may reach the similarity.
+
+    A list is cut into parts of about PART classes, and each pair of parts is compared in arrays:
+    reach, agreement of signatures, and the overlap that the bitmaps allow (shingles whose bit the
+    other has not are no common ones). Only pairs that pass all are put out.
+    """
+    sizes = near.groupBy("token").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = near.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "s", "signature", "bits")
+
+    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        i, j = rows[0][1:3]
+        own = np.array([r[3] for r in rows])
+        rep, comp, n, s = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6, 7))
+        sig = np.array([r[8] for r in rows], np.int32)
+        bits = np.frombuffer(b"".join(r[9] for r in rows), np.uint64).reshape(len(rows), -1)
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        least = np.minimum(s[x][:, None], s[y][None, :])
+        able = (comp[x][:, None] != comp[y][None, :]) & (100 * least >= SIMILARITY * (n[x][:, None] + n[y][None, :] - least))
+        if i == j:
+            able &= rep[x][:, None] < rep[y][None, :]
+        if able.any():
+            agree = np.zeros(able.shape, np.int16)
+            for c in range(COORDINATES):
+                agree += sig[x, c][:, None] == sig[y, c][None, :]
+            p, q = np.nonzero(able & (agree >= MATCHES))
+            p, q = x[p], y[q]
+            for at in range(0, len(p), 1 << 14):
+                u, v = p[at : at + (1 << 14)], q[at : at + (1 << 14)]
+                most = np.minimum(n[u] - np.bitwise_count(bits[u] & ~bits[v]).sum(1, dtype=np.int64), n[v] - np.bitwise_count(bits[v] & ~bits[u]).sum(1, dtype=np.int64))
+                good = 100 * most >= SIMILARITY * (n[u] + n[v] - most)
+                yield from zip(np.minimum(rep[u], rep[v])[good].tolist(), np.maximum(rep[u], rep[v])[good].tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and row[:3] != held[-1][:3]:
+                    out += compare(held)
+                    held.clear()
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 2, ["a", "b"])
+        if held:
+            out = list(compare(held))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 2, ["a", "b"])
+
+    keys = ["token", "i", "j"]
+    return dealt.repartition(tasks(near.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
 def _collected(spark) -> None:
     """Let Spark drop the shuffle files of plans that are no longer held."""
     import gc
@@ -119,7 +222,7 @@ def groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     every = written(signed(docs), "signed")
-    classes = every.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    classes = every.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     classes = written(classes, "classes")
     lists = written(postings(classes), "postings")
     texts = written(docs.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), "candidates", compression="zstd")
@@ -132,32 +235,32 @@ def groups(docs: DataFrame) -> DataFrame:
     also = several.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     links = written(links.unionAll(twice).unionAll(also).where("u <> v").distinct(), "links")
     found = components(links)
-    for turn in range(STAR_ROUNDS + 1):
-        placed = lists.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("comp"))
-        open_ = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("o"), "rep", "comp")).alias("p"))
-        open_ = open_.where("low <> high")
-        if turn < STAR_ROUNDS:
-            met = placed.join(open_.select("token", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("of")), "token").where("comp <> of")
-            counted = met.groupBy("rep", "pivot").agg(F.count("*").alias("n"))
-            pairs = counted.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("m"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.m")).alias("b"))
-        else:
-            left = placed.join(open_.select("token"), "token", "left_semi")
-            a, b = (left.select("token", F.col("rep").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
-            pairs = a.join(b, "token").where("a < b and ca <> cb").select("a", "b").distinct()
-            sig = classes.select("rep", "signature")
-            pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-            agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-            pairs = pairs.where(agree >= MATCHES).select("a", "b")
+
+    def placed(lists: DataFrame) -> DataFrame:
+        return lists.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal links, found
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break  # each list lies within one component, or what is left was refuted
-        new = written(confirm(pairs, texts).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        links = links.unionAll(new)
-        found = components(links)
-        _collected(spark)
-    placed = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_hash").alias("h"), F.coalesce("label", "rep").alias("comp"))
+        if not pairs.isEmpty():
+            links = links.unionAll(written(confirm(pairs, texts).select(F.col("a").alias("u"), F.col("b").alias("v")), "links"))
+            found = components(links)
+            _collected(spark)
+
+    settle(_pivots(placed(lists)))
+    now = placed(lists)
+    several = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    open_ = now.join(several, "token", "left_semi").select("token", "rep", "comp")
+    able = written(reach(open_.select("rep", "comp").distinct(), texts).join(classes, "rep").where(f"100 * s >= {SIMILARITY} * n").select("rep", "n", "s", "signature"), "able")
+    for turn in range(BAND_ROUNDS):
+        order = np.random.Generator(np.random.PCG64(turn)).permutation(COORDINATES).tolist()
+        bands = [F.xxhash64(F.lit(i), *[F.col("signature")[c] for c in order[i : i + BAND]]) for i in range(0, COORDINATES - BAND + 1, BAND)]
+        settle(_pivots(placed(able.select("rep", F.explode(F.array(*bands)).alias("token")))))
+    near = written(placed(open_.drop("comp").join(sketched(able, texts), "rep")), "near")
+    settle(left_over(near))
+    joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_hash").alias("h"), F.coalesce("label", "rep").alias("comp"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("set_hash") == F.col("h"))
-    out = every.select("doc_id", "n_shingles", "set_hash").join(placed, linked, "left")
+    out = every.select("doc_id", "n_shingles", "set_hash").join(joined, linked, "left")
     # a document without words that shares its doc_id with one that has some
     comp = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
