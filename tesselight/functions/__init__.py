@@ -1 +1 @@
-
+"""Scalar and statistical functions."""

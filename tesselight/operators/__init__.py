@@ -1 +1 @@
-
+"""Operators over categorical frames."""

@@ -1 +1 @@
-
+"""Readers and frames."""
