@@ -29,10 +29,12 @@ def scan(df: DataFrame, columns: list[str], rule: Rule, widest: int = 2, thresho
     One enumeration per column serves all its values; values whose base rate reaches the floor are
     left out. p is the exact tail of the winner's pooled centres, times the schemas searched.
     """
+    if "z" in columns:
+        raise ValueError("z is the indicator's name: rename that column")
     out = None
     for c in columns:
         features = [x for x in columns if x != c]
-        scored = scores(value_cells(df.select(*columns).withColumn("z", F.lit(0)), features, c, widest), rule, by=["value"])
+        scored = scores(value_cells(df.select(*columns), features, c, widest), rule, by=["value"])
         scored = scored.where((F.col("positives") > 0) & (F.col("positives") / F.col("rows") < rule.tau))
         tried = scored.withColumn("tried", F.count("*").over(Window.partitionBy("value")))
         best = Window.partitionBy("value").orderBy(F.desc("coverage"), "n_centers", "d", "mass", "schema_id")

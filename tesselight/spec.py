@@ -141,6 +141,8 @@ def framed(df: DataFrame, target: Target, drop: list[str] | None = None, directi
     """Feature columns and ``z``: the target's columns and ``drop`` go."""
     gone = {*target.columns, *(drop or [])}
     z = target.indicator()
+    if "z" in df.columns and "z" not in gone:
+        raise ValueError("z is the indicator's name: rename or drop that feature")
     return df.select(*[c for c in df.columns if c not in gone], oriented(z, direction).alias("z"))
 
 

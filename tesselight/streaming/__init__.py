@@ -1 +1 @@
-
+"""Incremental cell counts."""
