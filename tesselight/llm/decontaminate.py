@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, mix, utf8
+from .common import U64, blocks, fresh, mix, utf8
 
 Q, EDITS = 12, 5  # bytes; percent
 #: Bytes of items that are broadcast at once.
@@ -222,5 +222,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a leak."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    name = fresh(docs, "leaked")
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import blocks, utf8
+from .common import blocks, fresh, utf8
 
 #: Documents of each language that the classifier is fitted on, at most.
 SAMPLE = 250
@@ -132,7 +132,7 @@ def fit(texts: list[tuple[str, bytes]], order: int = ORDER) -> Model:
             kept = row >= 0
             counts[row[kept], (g[kept] & np.uint64(255)).astype(np.int64)] = c[kept]
         for k in range(order + 1):
-            rows = np.array([i for (d, _), i in node.items() if d == k])
+            rows = np.array([i for (d, _), i in node.items() if d == k], np.int64)
             n = counts[rows]
             had = n > 0
             total, distinct = n.sum(1, keepdims=True), had.sum(1, keepdims=True)
@@ -144,7 +144,7 @@ def fit(texts: list[tuple[str, bytes]], order: int = ORDER) -> Model:
             own = n / np.maximum(np.where(full, total, total + distinct), 1)
             prob[rows] = np.where(total > 0, own + escape * rest / np.where(full, 1, left), below)
         cost[:, :, which] = -np.log2(np.maximum(prob, 1e-30))
-    return Model(langs, symbol, after.reshape(-1), cost.reshape(-1, len(langs)), order)
+    return Model(langs, symbol, after.reshape(-1), cost.reshape(len(node) * size, len(langs)), order)
 
 
 def train(docs: DataFrame) -> Model:
@@ -158,10 +158,17 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-def classify(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
+def known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """``docs`` without rows that are ``und`` or whose score is below ``least``."""
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    marked = classify(docs, model, carry=(pred, score))
+    return marked.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).drop(pred, score)
+
+
+def classify(docs: DataFrame, model: Model, carry: tuple[str, str] | None = None) -> DataFrame:
     """Predictions from the text alone, beside doc_id and held_out.
 
-    ``carry`` returns all columns of ``docs`` instead, with ``_lang_pred`` and ``_score``.
+    ``carry`` returns all columns of ``docs`` instead, with prediction and score under these names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most CONTEXTS contexts
 
@@ -192,14 +199,14 @@ def classify(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
             score = pa.array(np.where(known, share, 0.0))
             own = list(b.columns)[:-1]
             if carry:
-                yield pa.RecordBatch.from_arrays([*own, pred, score], [*kept, "_lang_pred", "_score"])
+                yield pa.RecordBatch.from_arrays([*own, pred, score], [*kept, *carry])
             else:
                 yield pa.RecordBatch.from_arrays([*own, pred, score, pa.array(least / np.maximum(np.diff(offsets), 1))], [*kept, "lang_pred", "score", "bits_per_byte"])
 
     text = F.col("text").cast("string")
     if carry:
         kept = docs.columns
-        schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
-        return docs.select(*docs.columns, text.alias("_text")).mapInArrow(run, schema)
+        schema = StructType([*docs.schema.fields, StructField(carry[0], StringType()), StructField(carry[1], DoubleType())])
+        return docs.select(*docs.columns, text.alias(fresh(docs, "whole_text"))).mapInArrow(run, schema)
     kept = ["doc_id", "held_out"]
     return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), text).mapInArrow(run, PREDICTED)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 #: Characters of a line, without white space at its ends, that make it worth looking up.
 LEAST = 20
@@ -130,11 +130,11 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with text_kept, n_lines and n_removed."""
-    gone = repeated(docs).select(F.col("key").alias("_gone_key"), "gone")
-    marked = docs.withColumn("_key", _key()).join(gone, F.col("_key") == F.col("_gone_key"), "left")
+    key, own, lost = (fresh(docs, x) for x in ("gone_key", "own_key", "gone_lines"))
+    gone = repeated(docs).select(F.col("key").alias(key), F.col("gone").alias(lost))
+    marked = docs.withColumn(own, _key()).join(gone, F.col(own) == F.col(key), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"]))["x"], "\n")
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(lost, s["i"]))["x"], "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    lost = F.coalesce(F.size("gone"), F.lit(0))
-    lost = F.when(lost < 0, 0).otherwise(lost)
-    return marked.withColumns({"text_kept": F.when(lost > 0, kept).otherwise(F.col("text")), "n_lines": n.cast("long"), "n_removed": lost.cast("long")}).drop("_key", "_gone_key", "gone")
+    fewer = F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost))
+    return marked.withColumns({"text_kept": F.when(fewer > 0, kept).otherwise(F.col("text")), "n_lines": n.cast("long"), "n_removed": fewer.cast("long")}).drop(own, key, lost)

@@ -47,10 +47,10 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
 
 
 def take(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """size, source_size, target and taken for each document; ``carry`` keeps all columns."""
+    """size, source_size, target and taken for each document; ``carry``: all columns as ``_row``, _size and _taken."""
     spark = docs.sparkSession
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    own = [c for c in docs.columns if c not in ("doc_id", "source")] if carry else []
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     sized = docs.select("doc_id", "source", *own, n_words(F.col("text")).alias("_size"), key.alias("_key"))
     if not carry:
         sized = written(sized, "sizes")
@@ -73,7 +73,7 @@ def take(docs: DataFrame, carry: bool = False) -> DataFrame:
     part = F.greatest(F.lit(0), F.least(F.col("_size"), rest - F.col("_offset") - F.col("_before")))
     taken = (epochs * F.col("_size") + part).cast("long").alias("_taken")
     if carry:
-        return out.select(*docs.columns, "_size", taken)
+        return out.select("_row", "_size", taken)
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"), "source")
 
 
@@ -87,10 +87,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1)))
     rows = rows.withColumn("_left", F.least(F.col("_size"), F.col("_taken") - F.col("_copy") * F.col("_size")).cast("int"))
     short = F.col("_left") < F.col("_size")
-    head = F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_left")), "")
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(short, F.length(head).cast("long")).otherwise(F.col("n_chars")))
-    return rows.withColumn("text", F.when(short, head).otherwise(F.col("text"))).select(*docs.columns)
+    head = F.array_join(F.slice(F.split("_row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_left")), "")
+    own = {c: F.col(f"_row.`{c}`") for c in docs.columns}
+    own["text"] = F.when(short, head).otherwise(own["text"])
+    if "n_chars" in own:
+        own["n_chars"] = F.when(short, F.length(head).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return rows.select(*[x.alias(c) for c, x in own.items()])
 
 
 ORACLE = r"""
