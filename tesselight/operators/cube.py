@@ -131,11 +131,3 @@ def value_cells(frame: DataFrame, features: list[str], value: str, widest: int =
     grid = sizes.withColumn("value", F.explode(F.array(*[F.lit(v) for v in sorted(values)])))
     return grid.join(counted.select("value", "schema_id", "cell", "k"), ["value", "schema_id", "cell"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
 
-
-def family_size(frame: DataFrame, features: list[str], row_id: str, widest: int = 4) -> int:
-    """Distinct row sets over all cells of all schemas: by size and two 64-bit fingerprints."""
-    prints = frame.select(*features, F.xxhash64(F.lit(1), row_id).alias("_a"), F.xxhash64(F.lit(2), row_id).alias("_b"))
-    wanted = schemas(features, widest)
-    grouped = _labelled(prints, features).groupingSets([[F.col(c) for c in s] for s in wanted], *[F.col(c) for c in features])
-    sets = grouped.agg(F.grouping_id().alias("_g"), F.count("*").alias("n"), F.bit_xor("_a").alias("a"), F.bit_xor("_b").alias("b"))
-    return sets.select("n", "a", "b").distinct().count()

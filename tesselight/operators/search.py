@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binomial import exact_lower_udf, exact_upper_udf, least_certified_strict_udf, least_certified_udf, least_pure, wilson_lower, z_udf
 from ..spec import Rule
+from .capacity import coarsened
 from .cube import cells as make_cells
 from .cube import value_cells
 
@@ -80,9 +81,20 @@ def winners(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def branches(frame: DataFrame, features: list[str], rule: Rule, widest: int = 4, form: str = "arrow") -> DataFrame:
+def searched_cells(frame: DataFrame, features: list[str], widest: int = 4, form: str = "arrow", only: list[tuple[str, ...]] | None = None, ordered: dict[str, bool] | None = None) -> DataFrame:
+    """The cell table that searches score: schemas beyond the grid's capacity are merged.
+
+    The table is kept: its cells are few against the rows that they sum up.
+    """
+    raw = make_cells(frame, features, widest, only=only, form=form).persist()
+    # a schema's cells sum up to the rows
+    rows = raw.where(F.col("schema_id") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return coarsened(raw, frame, features, rows, ordered)
+
+
+def branches(frame: DataFrame, features: list[str], rule: Rule, widest: int = 4, form: str = "arrow", ordered: dict[str, bool] | None = None) -> DataFrame:
     """Winners over all combinations of ``features`` for the indicator ``z``."""
-    return winners(scores(make_cells(frame, features, widest, form=form), rule))
+    return winners(scores(searched_cells(frame, features, widest, form, ordered=ordered), rule))
 
 
 def branches_by_value(frame: DataFrame, features: list[str], column: str, rule: Rule, widest: int = 4) -> DataFrame:

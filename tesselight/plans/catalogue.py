@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import binomial
-from ..operators import baselines, cube, display, encoding, landscape, redundancy, rules, scan, screen, search, validation
+from ..operators import baselines, capacity, cube, display, encoding, landscape, redundancy, rules, scan, screen, search, validation
 from ..sources import frames
 from ..sources.frames import EVENT_FEATURES, EVENTS_SQL, LINE_FEATURES, LINES_SQL, ORDER_FEATURES, ORDERS_SQL
 from ..spec import Rule, Target, base_rate, certificate, framed, positive_value, resolve_target
@@ -144,6 +144,22 @@ def coarsened_to_capacity_part(spark: SparkSession, sf: str) -> DataFrame:
     return merged.groupBy(*names).agg(F.count("*").alias("n"))
 
 
+@query()
+def branches_coarsened_part(spark: SparkSession, sf: str) -> DataFrame:
+    """Winners where brand x size has too many cells; checked against brute force in tests."""
+    frame = frames.parts(spark, sf).select("p_brand", "p_type", "p_size", (F.col("p_partkey") % 5 == 0).cast("int").alias("z"))
+    return _flat(search.branches(frame, ["p_brand", "p_type", "p_size"], Rule(tau=0.3), 3, ordered={"p_size": True})).select(*SCORED)
+
+
+@query("""WITH p AS (SELECT p_size AS v, count(*) FILTER (p_partkey % 2 = 0) AS c FROM part GROUP BY ALL), f AS (SELECT v, row_number() OVER (ORDER BY c DESC, v) - 1 AS r FROM p WHERE c > 0)
+SELECT p.v::VARCHAR AS value, CASE WHEN f.r IS NULL THEN 9 ELSE least(f.r, 9) END::INT AS merged FROM p LEFT JOIN f ON p.v = f.v""")
+def fitted_levels_part(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels merged on half the rows, applied to all of them."""
+    df = frames.parts(spark, sf)
+    fitted = encoding.coarsen_nominal(encoding.dictionary(df.where("p_partkey % 2 = 0"), ["p_size"]), 10)
+    return encoding.apply_fitted(fitted, encoding.dictionary(df, ["p_size"]), False).select("value", "merged")
+
+
 # cells, cube, search
 
 
@@ -345,7 +361,7 @@ def certified_cells_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH f AS ({EVENTS_SQL}) SELECT count(*) AS family FROM (SELECT DISTINCT s FROM ({' UNION ALL '.join(f'SELECT list(id ORDER BY id) AS s FROM f GROUP BY {c}' for c in ('quarter', 'user_group', 'size', 'quarter, user_group', 'quarter, size', 'user_group, size'))}))")
 def family_cells_events(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(cube.family_size(frames.events(spark, sf), EVENT_FEATURES, "id", 2),)], "family long")
+    return spark.createDataFrame([(capacity.family_size(frames.events(spark, sf), EVENT_FEATURES, "id", 2),)], "family long")
 
 
 @query("""WITH e AS (SELECT event_type, hour(ts) AS h, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT *, 1.0::DOUBLE / n AS p FROM e),
@@ -555,6 +571,27 @@ def display_points_events(spark: SparkSession, sf: str) -> DataFrame:
     return display.points(frames.events(spark, sf), EVENT_FEATURES, "id", 500)
 
 
+@query(f"WITH {twins.cells(EVENTS_SQL, EVENT_FEATURES, 1, only=[(c,) for c in EVENT_FEATURES])}, {twins.marked(0.205)} SELECT DISTINCT features AS col, cell AS value FROM marked WHERE yes")
+def scan_filtered_catalog_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogue entries that are centres by themselves."""
+    df = frames.events(spark, sf)
+    found = search.centres(cube.cells(df, EVENT_FEATURES, 1), Rule(tau=0.205)).where("is_centre")
+    found = found.select(F.col("features")[0].alias("col"), F.col("cell")[0].alias("value"))
+    return search.kept_levels(screen.catalogue(df, EVENT_FEATURES), found).select("col", "value")
+
+
+@query(f"{CURVES}, b AS (SELECT schema_id, d, features FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY x DESC, n_centers, n_sel, schema_id) AS q FROM c WHERE tau = 0.5) WHERE q = 1 AND n_centers > 0) SELECT schema_id, d, features FROM (SELECT schema_id, d, features FROM c WHERE n_centers > 0 UNION SELECT schema_id, d, features FROM b)")
+def rule_pool_lines(spark: SparkSession, sf: str) -> DataFrame:
+    won = search.gated(search.winners(search.scores(_line_cells(spark, sf), PURE)))
+    return _flat(landscape.rule_pool(_curves(spark, sf), won))
+
+
+@query("SELECT method, count(*) FILTER (t >= 2) AS plus, count(*) FILTER (t > -2 AND t < 2) AS equal, count(*) FILTER (t <= -2) AS minus, median(gain) AS median_gain FROM (SELECT event_type AS method, value / 20 - 3 AS t, value AS gain FROM events) GROUP BY method")
+def comparison_marks_events(spark: SparkSession, sf: str) -> DataFrame:
+    e = frames.table(spark, sf, "events")
+    return baselines.comparison(e.select(F.col("event_type").alias("method"), (F.col("value") / 20 - 3).alias("t"), F.col("value").alias("gain")))
+
+
 # redundancy
 
 SETS_RULE = Rule(tau=0.21)

@@ -18,8 +18,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import cube, display, landscape, redundancy, rules, scan, screen, search, validation
-from .spec import MAX_WIDTH, Rule, Target, base_rate, certificate, framed, resolve_target, void_reason
+from .operators import capacity, cube, display, landscape, redundancy, rules, scan, screen, search, validation
+from .spec import MAX_WIDTH, Rule, Target, base_rate, certificate, framed, ordered_columns, resolve_target, void_reason
 
 CACHED_TABLES, CACHED_ANSWERS, MOST_ROWS = 8, 16, 500
 ROW = "_row"
@@ -128,14 +128,14 @@ class Service:
         _, _, share = base_rate(frame)
         if rule.correction == "family":
             keyed = frame.withColumn(ROW, F.monotonically_increasing_id())
-            rule = rule.with_family(cube.family_size(keyed, features, ROW, widest))
+            rule = rule.with_family(capacity.family_size(keyed, features, ROW, widest))
         only = None
         if q.get("prune"):
             only = cube.renamed_candidates(features, widest, screen.exact_dependencies(frame.drop("z"), features))
         key = (json.dumps({k: q.get(k) for k in ("column", "value", "also", "drop", "direction", "prune")}, sort_keys=True), widest)
         with self._lock:
             if key not in self._tables:
-                self._tables[key] = cube.cells(frame, features, widest, only=only).persist()
+                self._tables[key] = search.searched_cells(frame, features, widest, only=only, ordered=ordered_columns(frame)).persist()
             self._tables.move_to_end(key)
             while len(self._tables) > CACHED_TABLES:
                 self._tables.popitem(last=False)[1].unpersist()

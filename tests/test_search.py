@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselight.functions import binomial as B
-from tesselight.operators import cube, landscape, search
+from tesselight.operators import capacity, cube, landscape, search
+from tesselight.operators.encoding import merge_states
 from tesselight.spec import Rule, Target, certificate, framed, positive_value, resolve_target, void_reason
 
 FEATURES = ["a", "b", "c", "d"]
@@ -103,7 +104,7 @@ def test_family_counts_row_sets(frame, rows):
         for r in rows:
             held[tuple(r[f] for f in s)].add(r["id"])
         sets |= {frozenset(x) for x in held.values()}
-    assert cube.family_size(frame, FEATURES, "id", 2) == len(sets)
+    assert capacity.family_size(frame, FEATURES, "id", 2) == len(sets)
 
 
 def test_curves_meet_the_search_at_each_floor(frame):
@@ -167,3 +168,38 @@ def test_empty_frame(spark):
     empty = spark.createDataFrame([], "a string, b string, z int")
     assert cube.cells(empty, ["a", "b"], 2).count() == 0
     assert search.branches(empty, ["a", "b"], Rule(), 2).count() == 0
+
+
+def test_crowded_schemas_merge_like_brute_force(spark):
+    r = random.Random(2)
+    rows = [{"a": r.choice("abcdefghijkl"), "b": r.randrange(9), "c": r.choice("xy"), "z": r.randrange(2)} for _ in range(500)]
+    frame = spark.createDataFrame(rows, "a string, b int, c string, z int")
+    got = capacity.coarsened(cube.cells(frame, ["a", "b", "c"], 3), frame, ["a", "b", "c"], 500, {"b": True})
+    count = {c: Counter(x[c] for x in rows) for c in "abc"}
+
+    def level(c, k):
+        order = sorted(count[c])
+        if k >= len(order):
+            return {v: str(v) for v in order}
+        if c == "b":
+            before, raw = 0, {}
+            for v in order:
+                raw[v] = before * k // 500
+                before += count[c][v]
+            dense = sorted(set(raw.values()))
+            return {v: f"#{dense.index(raw[v])}" for v in order}
+        return {v: f"#{min(i, k - 1)}" for i, v in enumerate(sorted(order, key=lambda v: (-count[c][v], v)))}
+
+    want = {}
+    for i, s in enumerate(brute.schemas("abc", 3)):
+        for state in merge_states([len(count[c]) for c in s]):
+            maps = [level(c, k) for c, k in zip(s, state)]
+            held = defaultdict(lambda: [0, 0])
+            for x in rows:
+                h = held[tuple(m[x[c]] for m, c in zip(maps, s))]
+                h[0] += 1
+                h[1] += x["z"]
+            if len(held) <= 50:
+                break
+        want.update({(i, cell): tuple(h) for cell, h in held.items()})
+    assert table(got) == want
