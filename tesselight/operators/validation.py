@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.binomial import exact_lower_udf, upper_tail_udf
 from ..spec import LEAST_POSITIVES, Rule
 from .cube import cells as make_cells
+from .ranking import ranked
 from .search import TIE, centres, scores, selected, winners, with_level
 
 
@@ -29,8 +30,8 @@ def _digest(seed: int, rep: Column | int, row_id: str) -> Column:
 def folds(df: DataFrame, row_id: str, k: int = 5, repeats: int = 5, seed: int = 0) -> DataFrame:
     """(row, rep, fold): k folds, dealt in turn within each class in digest order."""
     every = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    place = F.row_number().over(Window.partitionBy("rep", "z").orderBy(_digest(seed, F.col("rep"), row_id), row_id))
-    return every.withColumn("fold", F.pmod(place - 1, F.lit(k)))
+    placed = ranked(every, ["rep", "z"], _digest(seed, F.col("rep"), row_id), row_id, "_fold_place")
+    return placed.withColumn("fold", F.pmod(F.col("_fold_place") - 1, F.lit(k)).cast("int")).drop("_fold_place")
 
 
 def hashed_folds(df: DataFrame, row_id: str, k: int = 5, repeats: int = 5, seed: int = 0) -> DataFrame:
@@ -42,8 +43,8 @@ def hashed_folds(df: DataFrame, row_id: str, k: int = 5, repeats: int = 5, seed:
 def halves(df: DataFrame, row_id: str, seed: int = 0) -> DataFrame:
     """``df`` with ``first``: the half of rows with the lower digests, blind to the target."""
     n = df.count()
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(_digest(seed, 0, row_id), row_id))
-    return df.withColumn("first", place <= math.ceil(n / 2))
+    placed = ranked(df, [], _digest(seed, 0, row_id), row_id, "_half_place")
+    return placed.withColumn("first", F.col("_half_place") <= math.ceil(n / 2)).drop("_half_place")
 
 
 def _fold_cells(folded: DataFrame, schema: list[str]) -> DataFrame:
@@ -197,9 +198,9 @@ def familywise_null(frame: DataFrame, features: list[str], rule: Rule, row_id: s
     out = []
     for first in range(0, replicates, 32):
         reps = range(first, min(replicates, first + 32))
-        ranked = frame.select(row_id, *features).withColumn("rep", F.explode(F.array(*[F.lit(r) for r in reps])))
-        place = F.row_number().over(Window.partitionBy("rep").orderBy(_digest(seed, F.col("rep"), row_id), row_id))
-        dealt = ranked.withColumn("z", (place <= positives).cast("int")).drop(row_id)
+        every = frame.select(row_id, *features).withColumn("rep", F.explode(F.array(*[F.lit(r) for r in reps])))
+        placed = ranked(every, ["rep"], _digest(seed, F.col("rep"), row_id), row_id, "_deal_place")
+        dealt = placed.withColumn("z", (F.col("_deal_place") <= positives).cast("int")).drop(row_id, "_deal_place")
         cells = cells_by_sets(dealt, features, widest, by=["rep"])
         out.append(scores(cells, rule, by=["rep"], wilson=False).groupBy(F.col("rep").alias("replicate")).agg(F.max("coverage").alias("coverage")))
     null = out[0]
