@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token store's documents, read back from its files."""
-    return token_store.write(docs).read().drop("ids")
+    return token_store.write(docs).read(ids=False)
 
 
 STAGES = [

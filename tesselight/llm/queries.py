@@ -21,7 +21,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.write(table(spark, sf_dir, "documents")).read().drop("ids")
+    return token_store.write(table(spark, sf_dir, "documents")).read(ids=False)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

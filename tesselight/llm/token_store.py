@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,17 +36,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, tasks
+from .common import blocks, scratch, tasks, utf8
 
 #: Id that ends each document.
 END_ID = 2
 #: The dictionary is trained on the id arrays of this many documents (fewest, by hash of doc_id).
 DICT_SAMPLE = 400
 DICT_BYTES = 64 << 10
+LEVEL = 1
 #: A segment is closed when it holds this many raw bytes of ids.
 SEGMENT_BYTES = 2 << 20
-#: Words a worker remembers; beyond, it starts anew.
-CACHE_WORDS = 400_000
+#: Words a worker remembers; beyond, it keeps those of at most SHORT bytes.
+CACHE_WORDS, SHORT = 1_000_000, 7
 
 SEGMENT = "shard int, seq int, first_token long, dict_hash string, doc_ids binary, null_ids binary, offsets binary, lengths binary, data binary"
 
@@ -56,34 +58,85 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(256))
+
+
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _ends_in_letter(word: bytes) -> bool:
+    last = word[-1:]
+    return last.isalpha() or last >= b"\x80" and word.decode("utf-8", "replace")[-1].isalpha()
+
+
 class WordEncoder:
     """A tokenizers encoder that encodes each distinct word once.
 
-    The vocabulary drops white space and works on each word by itself, so a text's ids are its
-    words' ids in a row. Texts are cut at spaces and line feeds only, which both Unicode's and the
-    tokenizer's notion of white space include; anything else is left to the tokenizer.
+    The vocabulary drops white space, ignores case and works on each word by itself, so a text's
+    ids are its words' ids in a row. Texts are cut at spaces and line feeds only, which both
+    Unicode's and the tokenizer's notion of white space include; anything else is left to the
+    tokenizer. ASCII marks (but for apostrophes) that end a word after a letter are always a piece
+    of their own, so such a word's ids are those of the word and of the marks. Case is folded for A-Z alone, and not in
+    texts that may hold the special tokens, which the tokenizer looks for in the raw text.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+        # for words of a-z alone, which the file's normaliser and splitter leave as they are
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.known: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _one_by_one(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        found = self.model.encode_batch_fast(words, add_special_tokens=False)
+        return [(w.encode(), array("I", e.ids).tobytes()) for w, e in zip(words, found)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words; those of letters alone many at a time, told apart by the ids that end words."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        rest = [t for t in texts if not t.isalpha()]
+        letters = [t for t in texts if t.isalpha()]
+        ascii_ = [t for t in letters if t.isascii() and t.islower()]
+        other = [t for t in letters if not (t.isascii() and t.islower())]
+        for model, own in ((self.plain, ascii_), (self.model, other)):
+            chunks = [own[i : i + 256] for i in range(0, len(own), 256)]
+            for chunk, e in zip(chunks, model.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+                if len(cut) != len(chunk):
+                    rest += chunk
+                    continue
+                flat = ids.tobytes()
+                self.known.update(zip([w.encode() for w in chunk], [flat[a:b] for a, b in zip([0, *cut], cut)]))
+        self.known.update(self._one_by_one(rest))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each UTF-8 text."""
+        if len(self.known) > CACHE_WORDS:  # short words come back most
+            self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        cut = [(t.replace(b"\n", b" ") if b"<|" in t else t.translate(_FOLD)).split(b" ") for t in texts]
+        new = set().union(*cut).difference(known)
         if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            marked = {}
+            for w in new:
+                stem = w.rstrip(_MARKS)
+                if len(stem) < len(w) and _ends_in_letter(stem) and b"<|" not in w:
+                    marked[w] = (stem, w[len(stem) :])
+            parts = {x for pair in marked.values() for x in pair}
+            self._learn([w for w in new.difference(marked).union(parts) if w not in known])
+            for w, (stem, marks) in marked.items():
+                known[w] = known[stem] + known[marks]
+        get = known.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -108,19 +161,22 @@ class TokenStore:
     def segments(self) -> DataFrame:
         return self.spark.read.schema(SEGMENT).parquet(self.path)
 
-    def read(self) -> DataFrame:
-        """Documents read back: doc_id, start, n_tokens, ids_crc32, ids (binary)."""
-        return _read(self)
+    def read(self, ids: bool = True) -> DataFrame:
+        """Documents read back: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (binary)."""
+        return _read(self, ids)
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A zstandard dictionary from serialised id arrays of a bounded, fixed sample."""
-    sample = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(DICT_SAMPLE)
+    key = F.xxhash64("doc_id")
+    last = [r[0] for r in docs.select(key.alias("h")).orderBy("h").limit(DICT_SAMPLE).collect()][-1:]
+    # rows that repeat a doc_id share its key: the limit holds for them too
+    sample = docs.where(key <= last[0] if last else F.lit(False)).where("text is not null").limit(DICT_SAMPLE)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([e.encode(t)[: DICT_BYTES // 2] for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[: DICT_BYTES // 2] for x in e.encode(b.column(0).cast("binary").to_pylist())], pa.binary())], ["ids"])
 
     arrays = [bytes(r[0]) for r in sample.select("text").mapInArrow(encode, "ids binary").collect()]
     try:
@@ -143,7 +199,9 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        e, zip_ = encoder(tokenizer), zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw))
+        shared = zstandard.ZstdCompressionDict(raw)
+        shared.precompute_compress(level=LEVEL)  # once for all frames
+        e, zip_ = encoder(tokenizer), zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         seq = first = 0
         ids, nulls, lengths, frames, held = [], [], [], [], 0
 
@@ -159,16 +217,18 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
 
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            texts = b.column(1)
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                flat = e.encode(texts[i].as_py() or "") + end
-                ids.append(doc or 0)
-                nulls.append(doc is None)
-                lengths.append(len(flat) // 4)
-                frames.append(zip_.compress(flat))
-                held += len(flat)
-                if held >= SEGMENT_BYTES:
-                    yield segment()
+            buf, offsets = utf8(b.column(1))
+            texts, at, docs_ = buf.tobytes(), offsets.tolist(), b.column(0).to_pylist()
+            for i, j in blocks(offsets, 1 << 20):
+                for k, flat in enumerate(e.encode([texts[at[x] : at[x + 1]] for x in range(i, j)]), i):
+                    flat += end
+                    ids.append(docs_[k] or 0)
+                    nulls.append(docs_[k] is None)
+                    lengths.append(len(flat) // 4)
+                    frames.append(zip_.compress(flat))
+                    held += len(flat)
+                    if held >= SEGMENT_BYTES:
+                        yield segment()
         if ids:
             yield segment()
 
@@ -177,7 +237,7 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     return TokenStore(spark, out, raw, digest)
 
 
-def _read(store: TokenStore) -> DataFrame:
+def _read(store: TokenStore, with_ids: bool) -> DataFrame:
     """Decompress each document's frame and number its first id."""
     # one small row per shard: how many ids come before it
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +262,9 @@ def _read(store: TokenStore) -> DataFrame:
                 n = np.array([len(f) // 4 for f in flats], np.int64)
                 start = base[row["shard"]] + row["first_token"] + np.concatenate(([0], np.cumsum(n)[:-1]))
                 docs = [None if z else d for d, z in zip(ids, row["null_ids"])]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start, pa.int64()), pa.array(n), pa.array([zlib.crc32(f) for f in flats], pa.int64()), pa.array(flats, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                out = [pa.array(docs, pa.int64()), pa.array(start, pa.int64()), pa.array(n), pa.array([zlib.crc32(f) for f in flats], pa.int64())]
+                if with_ids:
+                    out.append(pa.array(flats, pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return store.segments().mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return store.segments().mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
