@@ -13,9 +13,10 @@ must meet:
 2. Around each anchor lies its context: the bytes that windows with this anchor can cover. Equal
    contexts under one hash are summed up before anything is moved: all but the first are repeated
    as a whole. The first of each go on, if their hash has several contexts.
-3. Contexts under one hash are a bucket, and each bucket's suffixes are sorted
-   (:mod:`.suffix`: linear grouping by Lyndon prefixes). Neighbours in that order that share LENGTH
-   bytes form runs; in each run the earliest stays and the other windows are removed.
+3. Contexts under one hash are a bucket. Parts of them that hold no string of LENGTH bytes twice
+   are left out, parts that lie within an earlier document's part are repeated as a whole, and the
+   suffixes of what is left in each bucket are sorted (:mod:`.suffix`: linear grouping by Lyndon prefixes). Neighbours in that order
+   that share LENGTH bytes form runs; in each run the earliest stays, the other windows go.
 4. A hash with more than ``HOT`` contexts (a passage in a large share of all documents) would fill
    one task. Its contexts are cut into pieces by where the window starts, eight starts a piece, and
    meet under the hash of the bytes that all windows of a piece share; what is still hot is cut
@@ -36,19 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, U64, _powers, blocks, mix, tasks, utf8, written
+from .common import _BASE, _BYTE, U64, _powers, blocks, discard, mix, tasks, utf8, written
 from .suffix import bucket_orders
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 40
 #: Contexts of one hash that one bucket takes.
-HOT = 256
+HOT = 128
 #: Bytes of contexts that are sorted together.
-SORTED_BYTES = 4 << 20
+SORTED_BYTES = 1 << 20
 _SIDE = LENGTH - GRAM
 
-#: h: hash; c: the context's hash; its document, start and size; a: the anchor's place in it.
-ANCHORS = "h long, c long, doc long, at long, size int, a int"
-PIECES = "h long, c long, doc long, at long, size int, a int, bytes binary"
+#: h: hash; c: the context's hash; p: the anchor's place in its document.
+ANCHORS = "h long, c long, doc long, p int"
+#: at: where the bytes start in their document; a: the anchor's place in them.
+PIECES = "h long, c long, doc long, at int, a int, bytes binary"
 SPANS = "doc long, s long, e long"
 
 
@@ -107,52 +109,68 @@ def _found(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids = np.asarray(b.column(0))
             buf, offsets = utf8(b.column(1))
-            for i, j in blocks(offsets, 2 << 20):
+            for i, j in blocks(offsets, 1 << 19):
                 part, o = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 at, h, ranges = anchors(part, o)
                 text = np.searchsorted(o, at, "right") - 1
                 s, e = np.maximum(at - _SIDE, o[text]), np.minimum(at + LENGTH, o[text + 1])
                 c = mix(ranges(s, e) ^ (at - s).astype(U64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[i:j][text]), pa.array(s - o[text]), pa.array((e - s).astype(np.int32)), pa.array((at - s).astype(np.int32))],
-                    ["h", "c", "doc", "at", "size", "a"],
-                )
+                place = (at - o[text]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[i:j][text]), pa.array(place)], ["h", "c", "doc", "p"])
 
     return docs.mapInArrow(run, ANCHORS)
 
 
-def _summed(found: DataFrame) -> DataFrame:
-    """Per context: its first place, and how often it occurs."""
-    return found.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("a").alias("a"))
+def _hashes(docs: DataFrame) -> DataFrame:
+    """(h): anchors' hashes alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, offsets = utf8(b.column(0))
+            for i, j in blocks(offsets, 1 << 19):
+                _, h, _ = anchors(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    return docs.select("text").mapInArrow(run, "h long")
+
+
+def _summed(found: DataFrame, place: str, *more: str) -> DataFrame:
+    """Per context: its first place, how often it occurs, and ``more`` that equal contexts share."""
+    return found.groupBy("h", "c").agg(F.min(F.struct("doc", place)).alias("first"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in more])
 
 
-def _copies(found: DataFrame, summed: DataFrame) -> DataFrame:
+def _copies(found: DataFrame, summed: DataFrame, place: str) -> DataFrame:
     """Whole contexts that are not the first of their kind."""
     twice = summed.where("n > 1").select("h", "c", "first")
-    return found.select("h", "c", "doc", "at", "size").join(twice, ["h", "c"]).where("doc <> first.doc or at <> first.at").select("doc", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))
+    return found.join(twice.hint("shuffle_hash"), ["h", "c"]).where((F.col("doc") != F.col("first.doc")) | (F.col(place) != F.col(f"first.{place}")))
 
 
 def _several(summed: DataFrame) -> DataFrame:
     """First places of the contexts of hashes that have more than one, with that number."""
     many = summed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    return summed.join(many, "h").select("h", "c", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "size", "a", "k")
+    return summed.join(many.hint("shuffle_hash"), "h").select("h", "c", "first.*", *[c for c in summed.columns if c not in ("h", "c", "first", "n")], "k")
 
 
 def _cut(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The bytes of ``places``, from their documents."""
-    wanted = places.groupBy("doc").agg(F.collect_list(F.struct("h", "c", "at", "size", "a", "k")).alias("x"))  # as many as the text has anchors
+    """The contexts at ``places``, from their documents; those too short for a window go."""
+    wanted = places.groupBy("doc").agg(F.collect_list(F.struct("h", "c", "p", "k")).alias("x"))  # as many as the text has anchors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offsets = utf8(b.column(1))
             lists = b.column(2)
             flat = lists.flatten()
-            h, c, at, size, a, k = (np.asarray(flat.field(i)) for i in range(6))
+            h, c, p, k = (np.asarray(flat.field(i)) for i in range(4))
             row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
-            doc = np.asarray(b.column(0))[row]
-            data, s = buf.tobytes(), (offsets[row] + at).tolist()
-            cut = [data[p : p + n] for p, n in zip(s, size.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(doc), pa.array(at), pa.array(size), pa.array(a), pa.array(cut, pa.binary()), pa.array(k)], ["h", "c", "doc", "at", "size", "a", "bytes", "k"])
+            s = np.maximum(p.astype(np.int64) - _SIDE, 0)
+            e = np.minimum(p + LENGTH, np.diff(offsets)[row])
+            keep = np.flatnonzero(e - s >= LENGTH)
+            data, first = buf.tobytes(), offsets[row] + s
+            for at in range(0, len(keep), 20_000):
+                x = keep[at : at + 20_000]
+                cut = [data[i : i + n] for i, n in zip(first[x].tolist(), (e - s)[x].tolist())]
+                out = [h[x], c[x], np.asarray(b.column(0))[row[x]], s[x].astype(np.int32), (p - s)[x].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(cut, pa.binary()), pa.array(k[x])], ["h", "c", "doc", "at", "a", "bytes", "k"])
 
     return docs.join(wanted, "doc").select("doc", "text", "x").mapInArrow(run, PIECES + ", k long")
 
@@ -161,23 +179,52 @@ def _pieces(hot: DataFrame, starts: int) -> DataFrame:
     """Contexts cut by where windows start, ``starts`` to a piece, under the bytes all have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for h, doc, at, a, data in zip(*(b.column(i).to_pylist() for i in range(5))):
-                # places are counted back from the anchor, so that equal windows fall into one piece
-                for far in range(0, a + 1, starts):
-                    first, last = max(0, a - far - starts + 1), min(a - far, len(data) - LENGTH)
-                    if first <= last:
-                        core = data[a - far : a - far - starts + 1 + LENGTH]
-                        rows.append((h, core, data[first : last + LENGTH], doc, at + first, a - first))
-            key = [int.from_bytes(hashlib.blake2b(core, digest_size=8, key=h.to_bytes(8, "little", signed=True)).digest(), "little", signed=True) for h, core, *_ in rows]
-            own = [int.from_bytes(hashlib.blake2b(r[2], digest_size=8, salt=r[5].to_bytes(2, "little")).digest(), "little", signed=True) for r in rows]
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(own, pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array([len(x) for x in cols[2]], pa.int32()), pa.array(cols[5], pa.int32()), pa.array(cols[2], pa.binary())], ["h", "c", "doc", "at", "size", "a", "bytes"])
+        for whole in batches:
+            for first_row in range(0, whole.num_rows, 500):
+                b = whole.slice(first_row, 500)
+                rows: list[tuple] = []
+                for h, doc, at, a, data in zip(*(b.column(i).to_pylist() for i in range(5))):
+                    # places are counted back from the anchor, so that equal windows fall into one piece
+                    for far in range(0, a + 1, starts):
+                        first, last = max(0, a - far - starts + 1), min(a - far, len(data) - LENGTH)
+                        if first <= last:
+                            core = data[a - far : a - far - starts + 1 + LENGTH]
+                            rows.append((h, core, data[first : last + LENGTH], doc, at + first, a - first))
+                key = [int.from_bytes(hashlib.blake2b(core, digest_size=8, key=h.to_bytes(8, "little", signed=True)).digest(), "little", signed=True) for h, core, *_ in rows]
+                own = [int.from_bytes(hashlib.blake2b(r[2], digest_size=8, salt=r[5].to_bytes(2, "little")).digest(), "little", signed=True) for r in rows]
+                cols = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(own, pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32()), pa.array(cols[2], pa.binary())], ["h", "c", "doc", "at", "a", "bytes"])
 
     return hot.select("h", "doc", "at", "a", "bytes").mapInArrow(run, PIECES)
 
 
+def shared_parts(texts: list[bytes], bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of what windows of each text cover whose hash occurs again in its bucket.
+
+    What lies outside starts no string that another has, so it need not be sorted.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(size) - size
+    many = np.maximum(size - LENGTH + 1, 0)
+    text = np.repeat(np.arange(len(texts)), many)
+    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    p = first[text] + at
+    h = _Ranges(data)(p, p + LENGTH) ^ mix(bucket[text].astype(U64))
+    order = np.argsort(h)
+    equal = h[order[1:]] == h[order[:-1]]
+    again = np.zeros(len(h), bool)
+    again[order[1:][equal]] = True
+    again[order[:-1][equal]] = True
+    keep = np.flatnonzero(again)
+    if not len(keep):
+        return (np.zeros(0, np.int64),) * 3
+    run = np.concatenate(([True], (keep[1:] != keep[:-1] + 1) | (text[keep[1:]] != text[keep[:-1]])))
+    cut = np.flatnonzero(run)
+    last = keep[np.append(cut[1:], len(keep)) - 1]
+    return text[keep[cut]], at[keep[cut]], at[last] + LENGTH
+
+
 def removed_windows(texts: list[bytes], bucket: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, start, end) of windows in buckets of contexts that also start earlier."""
     order, starts, data = bucket_orders(texts, bucket)
@@ -209,29 +256,93 @@ def removed_windows(texts: list[bytes], bucket: np.ndarray, doc: np.ndarray, at:
     return doc[text[a]], a + shift, b + shift + LENGTH
 
 
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return list(zip(cut.tolist(), [*cut[1:].tolist(), len(x)]))
+
+
+def _not_covered(parts: list[tuple[int, int, bytes]]) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int, int]]]:
+    """Parts of a bucket, by (document, place), without those that lie within an earlier one.
+
+    Those are repeated as a whole and returned as spans. A part of the same document counts only
+    if it is equal, as a place within it could otherwise come later.
+    """
+    kept: list[tuple[int, int, bytes]] = []
+    spans_: list[tuple[int, int, int]] = []
+    seen: dict[bytes, tuple[int, int]] = {}
+    before, new, last = bytearray(), [], None
+    for doc, at, part in parts:
+        if doc != last:
+            for x in new:
+                before += b"\xff"  # in no UTF-8 text
+                before += x
+            new, last = [], doc
+        own = (doc, at)
+        if seen.setdefault(part, own) == own and part not in before:
+            if not kept or kept[-1] != (doc, at, part):  # contexts of one document overlap
+                kept.append((doc, at, part))
+                new.append(part)
+        elif seen[part] != own or part in before:
+            spans_.append((doc, at, at + len(part)))
+    return kept, spans_
+
+
 def _sorted_spans(pieces: DataFrame) -> DataFrame:
     """Removed spans of contexts whose buckets are of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
+        # buckets of like size advance together: by the power of two of their bytes
+        waiting: dict[int, list[tuple[list[bytes], np.ndarray, np.ndarray]]] = {}
+        bytes_of: dict[int, int] = {}
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def trim() -> pa.RecordBatch:
+            """Deal what is held, bucket by bucket, to the buckets of its size.
+
+            A bucket that has one part left holds no further repeat.
+            """
+            gone: list[tuple[int, int, int]] = []
             h = np.array([r[0] for r in held], np.int64)
             bucket = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
-            out = removed_windows([r[3] for r in held], bucket, np.array([r[1] for r in held], np.int64), np.array([r[2] for r in held], np.int64))
+            text, s, e = shared_parts([r[3] for r in held], bucket)
+            if len(text):
+                doc, at = (np.array([r[k] for r in held], np.int64)[text] for k in (1, 2))
+                parts = [held[t][3][a:b] for t, a, b in zip(text.tolist(), s.tolist(), e.tolist())]
+                of = bucket[text]
+                docs, places = doc.tolist(), (at + s).tolist()
+                for a, z in _runs(of):
+                    kept, whole = _not_covered(sorted((docs[i], places[i], parts[i]) for i in range(a, z)))
+                    gone += whole
+                    if len(kept) > 1:
+                        n = sum(len(x[2]) for x in kept)
+                        kind = n.bit_length()
+                        waiting.setdefault(kind, []).append(([x[2] for x in kept], np.array([x[0] for x in kept], np.int64), np.array([x[1] for x in kept], np.int64)))
+                        bytes_of[kind] = bytes_of.get(kind, 0) + n
             held.clear()
+            cols = list(zip(*gone)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc", "s", "e"])
+
+        def sort(kind: int) -> pa.RecordBatch:
+            ready = waiting.pop(kind)
+            bytes_of[kind] = 0
+            bucket = np.repeat(np.arange(len(ready)), [len(r[0]) for r in ready])
+            out = removed_windows([t for r in ready for t in r[0]], bucket, np.concatenate([r[1] for r in ready]), np.concatenate([r[2] for r in ready]))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc", "s", "e"])
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if size >= SORTED_BYTES and row[0] != held[-1][0]:
-                    yield flush()
+                    yield trim()
                     size = 0
+                    for kind in [k for k, n in bytes_of.items() if n >= SORTED_BYTES]:
+                        yield sort(kind)
                 held.append(row)
                 size += len(row[3])
         if held:
-            yield flush()
+            yield trim()
+        for kind in list(waiting):
+            yield sort(kind)
 
     return pieces.select("h", "doc", "at", "bytes").repartition(tasks(pieces.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, SPANS)
 
@@ -258,31 +369,64 @@ def spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     long = docs.where(F.octet_length("text") >= LENGTH)
     found = _found(long)
-    often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    found = written(found.join(often, "h").select("h", "c", "doc", "at", "size", "a"), "anchors")
+    often = written(_hashes(long).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
+    _collected(spark)
+    # one row a key on the smaller side: hashed, so that the larger need not be sorted
+    found = written(found.join(often.hint("shuffle_hash"), "h").select("h", "c", "doc", "p"), "anchors")
+    discard(often)
     _collected(spark)
-    summed = written(_summed(found), "contexts")
-    out = [written(_copies(found, summed), "copies")]
+    summed = written(_summed(found, "p"), "contexts")
+    _collected(spark)
+    whole = _copies(found, summed, "p").select("doc", F.greatest(F.col("p") - _SIDE, F.lit(0)).alias("s"), (F.col("p") + LENGTH).alias("e"))
+    out = [written(_merged(whole), "copies")]
+    discard(found)
     _collected(spark)
     bytes_ = written(_cut(long, _several(summed)), "cut", compression="zstd")
+    discard(summed)
     _collected(spark)
     out.append(written(_sorted_spans(bytes_.where(F.col("k") <= HOT)), "spans"))
+    _collected(spark)
     hot = bytes_.where(F.col("k") > HOT)
     for starts in (8, 1):
         if hot.isEmpty():
             break
         found = written(_pieces(hot, starts), "pieces", compression="zstd")
-        summed = written(_summed(found), "contexts")
-        out.append(_copies(found, summed))
-        several = _several(summed)
-        first = found.join(several.select("h", "c", "doc", "at", "k"), ["h", "c", "doc", "at"]).dropDuplicates(["h", "c", "doc", "at"])
-        several = written(first, "cut", compression="zstd")
-        out.append(_sorted_spans(several.where(F.col("k") <= HOT)))
+        summed = written(_summed(found, "at", "a", "bytes"), "contexts", compression="zstd")
+        _collected(spark)
+        again = _copies(found.select("h", "c", "doc", "at", F.octet_length("bytes").alias("size")), summed, "at")
+        out.append(written(_merged(again.select("doc", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))), "copies"))
+        discard(found)
+        _collected(spark)
+        several = written(_several(summed), "cut", compression="zstd")
+        discard(summed)
+        out.append(written(_sorted_spans(several.where(F.col("k") <= HOT)), "spans"))
+        _collected(spark)
         hot = several.where(F.col("k") > HOT)
     spans_ = out[0]
     for x in out[1:]:
         spans_ = spans_.unionAll(x)
-    return written(spans_, "spans")
+    return spans_
+
+
+def _merged(spans_: DataFrame) -> DataFrame:
+    """One row for spans of a document that touch, as far as a batch holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, s, e = (np.asarray(c).astype(np.int64) for c in b.columns)
+            if not len(doc):
+                continue
+            order = np.lexsort((s, doc))
+            doc, s, e = doc[order], s[order], e[order]
+            fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
+            # ends so far within a document: contexts are of like length, so a running maximum over a shifted key
+            part = np.cumsum(fresh)
+            far = np.maximum.accumulate(e + part * (1 << 40)) - part * (1 << 40)
+            head = fresh | np.concatenate(([True], s[1:] > far[:-1]))
+            at = np.flatnonzero(head)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(s[at]), pa.array(far[np.append(at[1:], len(doc)) - 1])], ["doc", "s", "e"])
+
+    return spans_.mapInArrow(run, SPANS)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -307,7 +451,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 else:
                     step = np.zeros(len(text) + 1, np.int32)
                     np.add.at(step, np.array(s), 1)
-                    np.add.at(step, np.array(e), -1)
+                    np.add.at(step, np.minimum(np.array(e), len(text)), -1)
                     cover = np.cumsum(step[:-1]) > 0
                     kept, lost = text[~cover].tobytes(), int(cover.sum())
                     runs = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())

@@ -18,6 +18,24 @@ from __future__ import annotations
 import numpy as np
 
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.empty(len(keys[0]), bool)
+    new[0] = True
+    np.not_equal(keys[0][1:], keys[0][:-1], out=new[1:])
+    for k in keys[1:]:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _gaps(heads: np.ndarray, end: int) -> np.ndarray:
+    """Lengths of the runs that begin at ``heads``."""
+    out = np.empty_like(heads)
+    np.subtract(heads[1:], heads[:-1], out=out[:-1])
+    out[-1] = end - heads[-1]
+    return out
+
+
 def bucket_orders(texts: list[bytes], bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sort the suffixes of each bucket's texts.
 
@@ -43,10 +61,11 @@ def bucket_orders(texts: list[bytes], bucket: np.ndarray) -> tuple[np.ndarray, n
     perm = np.argsort(key, kind="stable")
     slot = np.empty(total, np.int64)
     slot[perm] = np.arange(total)
-    sorted_key = key[perm]
-    head = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
+    key = key[perm]
+    head = np.concatenate(([True], key[1:] != key[:-1]))
     head |= stop[perm]  # each terminator is alone
     head_at = np.flatnonzero(head)
+    del symbol, of, key, head
     group = np.empty(total, np.int64)
     group[perm] = np.repeat(head_at, np.diff(np.append(head_at, total)))
     end_of = np.zeros(total + 1, np.int64)
@@ -82,13 +101,14 @@ def bucket_orders(texts: list[bytes], bucket: np.ndarray) -> tuple[np.ndarray, n
         parents = at[real]
         prev[members[~real]] = -1
         if len(parents):
-            parents, count = np.unique(parents, return_counts=True)
-            order = np.lexsort((count, group[parents]))
-            parents, count = parents[order], count[order]
+            parents.sort()
+            run = _heads(parents)
+            parents, count = parents[run], _gaps(run, len(parents))
             old = group[parents]
-            fresh = np.concatenate(([True], old[1:] != old[:-1]))
-            run = np.flatnonzero(fresh)
-            many = np.diff(np.append(run, len(old)))
+            order = np.argsort(old * (len(members) + 1) + count, kind="stable")
+            parents, count, old = parents[order], count[order], old[order]
+            run = _heads(old)
+            many = _gaps(run, len(old))
             limit = end_of[old[run]]
             target = np.repeat(limit - many - run, many) + np.arange(len(old))
             moving[parents] = True
@@ -102,12 +122,14 @@ def bucket_orders(texts: list[bytes], bucket: np.ndarray) -> tuple[np.ndarray, n
             perm[target] = parents
             slot[parents] = target
             end_of[old[run]] = limit - many
-            split = np.flatnonzero(fresh | np.concatenate(([True], count[1:] != count[:-1])))
-            length = np.diff(np.append(split, len(old)))
+            split = _heads(old, count)
+            length = _gaps(split, len(old))
             group[parents] = np.repeat(target[split], length)
             end_of[target[split]] = target[split] + length
         active = active[top[active] > floor[active]]
 
+    del perm, slot, end_of, moving
+
     # phase 2
     out = np.full(total, -1, np.int64)
     out[low.repeat(terminators) + np.arange(int(terminators.sum())) - np.repeat(np.cumsum(terminators) - terminators, terminators)] = np.flatnonzero(stop)
