@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import binomial
-from ..operators import baselines, capacity, cube, display, encoding, landscape, redundancy, rules, scan, screen, search, validation
+from ..operators import baselines, capacity, comparison, cube, display, encoding, landscape, redundancy, rules, scan, screen, search, validation
 from ..sources import frames
 from ..sources.frames import EVENT_FEATURES, EVENTS_SQL, LINE_FEATURES, LINES_SQL, ORDER_FEATURES, ORDERS_SQL
 from ..spec import Rule, Target, base_rate, certificate, framed, positive_value, resolve_target
@@ -680,4 +680,9 @@ def greedy_chain_lines(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(len(c), "+".join(c)) for c in chain], "d int, features string")
 
 
+@query()
+def method_comparison_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return comparison.compare(frames.orders(spark, sf), ORDER_FEATURES, ORDER_RULE, 6, "id", k=2, widest=3).drop("net_coverage")
+
+
 __all__ = ["QUERIES", "ORACLES", "Window"]

@@ -9,7 +9,7 @@ from threading import Thread
 import pytest
 from pyspark.sql import functions as F
 
-from tesselight.operators import baselines, cube, display, redundancy, rules, scan, screen, validation
+from tesselight.operators import baselines, comparison, cube, display, redundancy, rules, scan, screen, validation
 from tesselight.service import Service, build_server, export_html
 from tesselight.sources import readers
 from tesselight.spec import Rule, Target
@@ -162,6 +162,13 @@ def test_baselines(frame, rows):
     assert baselines.tarone_size(cube.cells(frame, ["color"], 1), 0.5, 0.05) == 3
 
 
+def test_comparison(frame):
+    out = comparison.compare(frame, ["color", "size", "shape"], Rule(tau=0.8), 4, "id", k=2).cache()
+    assert out.count() == 6 and out.where("conditions > 4").count() == 0
+    assert out.where("method = 'rules' and coverage < 0.9").count() == 0
+    assert comparison.summarised(out, 0.8, 2).where("purity_holds = 1 and folds = 2").count() == 3
+
+
 def test_readers(spark, tmp_path):
     path = tmp_path / "toy_set.csv"
     path.write_text("class,x\np,1\ne,\n")
