@@ -65,6 +65,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: What operators keep in a worker process between tasks.
+KEPT: list[dict] = []
+
+
+def release() -> None:
+    """Drop what earlier operators have kept: Spark reuses workers, and memory is shared."""
+    for x in KEPT:
+        x.clear()
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, fresh, mix, utf8
+from .common import U64, blocks, fresh, mix, release, utf8
 
 Q, EDITS = 12, 5  # bytes; percent
 #: Bytes of items that are broadcast at once.
@@ -194,6 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(Items(chunk))  # at most CHUNK bytes of items and one more
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             items = shared.value
             for b in batches:
                 buf, offsets = utf8(b.column(1))

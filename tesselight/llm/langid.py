@@ -32,13 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import blocks, fresh, utf8
+from .common import blocks, fresh, release, utf8
 
 #: Documents of each language that the classifier is fitted on, at most.
 SAMPLE = 250
 #: Bytes of context, at most; contexts seen less often than LEAST are left out, and beyond CONTEXTS the rarer.
 ORDER, LEAST, CONTEXTS = 4, 8, 8000
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 UNKNOWN = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
@@ -173,9 +173,10 @@ def classify(docs: DataFrame, model: Model, carry: tuple[str, str] | None = None
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most CONTEXTS contexts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = shared.value
         for b in batches:
-            texts = b.column(b.num_columns - 1)
+            texts = b.column(where)
             buf, offsets = utf8(texts)
             n = len(texts)
             bits = np.zeros((n, len(m.langs)))
@@ -197,16 +198,15 @@ def classify(docs: DataFrame, model: Model, carry: tuple[str, str] | None = None
             names = np.array([*m.langs, UNKNOWN], object)
             pred = pa.array(names[np.where(known, best, len(m.langs))], pa.string())
             score = pa.array(np.where(known, share, 0.0))
-            own = list(b.columns)[:-1]
+            own = list(b.columns)[: len(kept)]
             if carry:
                 yield pa.RecordBatch.from_arrays([*own, pred, score], [*kept, *carry])
             else:
                 yield pa.RecordBatch.from_arrays([*own, pred, score, pa.array(least / np.maximum(np.diff(offsets), 1))], [*kept, "lang_pred", "score", "bits_per_byte"])
 
-    text = F.col("text").cast("string")
     if carry:
-        kept = docs.columns
+        kept, where = docs.columns, docs.columns.index("text")
         schema = StructType([*docs.schema.fields, StructField(carry[0], StringType()), StructField(carry[1], DoubleType())])
-        return docs.select(*docs.columns, text.alias(fresh(docs, "whole_text"))).mapInArrow(run, schema)
-    kept = ["doc_id", "held_out"]
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), text).mapInArrow(run, PREDICTED)
+        return docs.mapInArrow(run, schema)
+    kept, where = ["doc_id", "held_out"], 2
+    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, PREDICTED)

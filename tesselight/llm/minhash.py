@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, shingle_sets, tasks, utf8, written
+from .common import U64, blocks, release, shingle_sets, tasks, utf8, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 75  # words; percent
@@ -68,6 +68,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the set, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             buf, offsets = utf8(b.column(1))
             for i, j in blocks(offsets):

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, scratch, tasks, utf8
+from .common import KEPT, blocks, release, scratch, tasks, utf8
 
 #: Id that ends each document.
 END_ID = 2
@@ -140,6 +140,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -252,6 +253,7 @@ def _read(store: TokenStore, with_ids: bool) -> DataFrame:
     raw, digest = store.dictionary, store.dict_hash
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # the store is written: its encoder is not needed any more
         unzip = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
         for b in batches:
             for row in b.to_pylist():
