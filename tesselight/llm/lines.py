@@ -1,12 +1,16 @@
 """Line dedup by pairwise alignment (operator 5).
 
-A line counts by its text without white space at its ends. Lines of ``LEAST`` characters or more
-that stand once in a document are its rare lines; each is looked up by hash, and a document meets
-the earliest document (smallest doc_id) that holds the same line. Meeting the earliest holder alone
-keeps the pairs in proportion to the lines, whatever a line's frequency, and misses no repeated
-line: a line's earliest holder never loses it. Each pair is aligned by patience diff (lines that
-stand once in both, the longest common order of them, then the gaps between), and aligned blocks
-with at least one rare line go from the later document.
+A line counts by its text without white space at its ends. A document posts each distinct line of
+``LEAST`` characters or more once, however often it holds it, and, if it has no such line, its
+whole sequence of lines. Each post is looked up by hash, and a document meets the earliest document
+(smallest doc_id) that has the same post. Meeting the earliest holder alone keeps the pairs in
+proportion to the lines, whatever a line's frequency, and misses no repeated line: a line's
+earliest holder never loses it. Each pair is aligned by patience diff (lines that stand once in
+both, the longest common order of them, then the gaps between), and aligned blocks with at least
+one posted line go from the later document. What the one order leaves (posted lines that moved, or
+that either document repeats) is aligned from where the earlier document first has the line, as far
+as lines agree both ways, and goes too. So a later document keeps no line of ``LEAST`` characters
+that an earlier one holds, and no copy of a document of shorter lines.
 
 Edge cases: null text has no lines; rows that share doc_id and text are one document and don't
 count as earlier or later; rows that share doc_id alone are ordered by digest; rows with a null
@@ -28,7 +32,7 @@ from .common import fresh, written
 
 #: Characters of a line, without white space at its ends, that make it worth looking up.
 LEAST = 20
-LINES = "key struct<no_id: boolean, doc_id: long, digest: string>, hashes array<long>, rare array<boolean>"
+LINES = "key struct<no_id: boolean, doc_id: long, digest: string>, hashes array<long>, posted array<long>"
 
 
 def line_hash(line: str) -> int:
@@ -39,19 +43,23 @@ def _key():
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
 
+def sequence_hash(hashes: list[int]) -> int:
+    raw = pa.array(hashes, pa.int64()).buffers()[1].to_pybytes()[: 8 * len(hashes)]
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8, person=b"sequence").digest(), "little", signed=True)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """Each document's line hashes, and which of them are rare in it."""
+    """Each document's line hashes, and what it posts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, rare = [], []
+            hashes, posted = [], []
             for text in b.column(1).to_pylist():
                 lines = (text or "").split("\n")
                 own = [line_hash(x) for x in lines]
-                times = Counter(own)
                 hashes.append(own)
-                rare.append([len(x.strip()) >= LEAST and times[h] == 1 for x, h in zip(lines, own)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(rare, pa.list_(pa.bool_()))], ["key", "hashes", "rare"])
+                posted.append(list(dict.fromkeys(h for x, h in zip(lines, own) if len(x.strip()) >= LEAST)) or [sequence_hash(own)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(posted, pa.list_(pa.int64()))], ["key", "hashes", "posted"])
 
     return docs.where("text is not null").select(_key().alias("key"), F.col("text").cast("string")).mapInArrow(run, LINES)
 
@@ -106,25 +114,45 @@ def patience(later: list[int], earlier: list[int]) -> list[tuple[int, int, int]]
     return blocks
 
 
+def lost(later: list[int], earlier: list[int], posted: set[int]) -> list[int]:
+    """Numbers of the lines that ``later`` loses to ``earlier``, whose posts it shares in part."""
+    if later == earlier:
+        return list(range(len(later)))
+    gone = [False] * len(later)
+    for s, _, n in patience(later, earlier):
+        if not posted.isdisjoint(later[s : s + n]):
+            gone[s : s + n] = [True] * n
+    place: dict[int, int] = {}
+    for j, h in enumerate(earlier):
+        place.setdefault(h, j)
+    for i, h in enumerate(later):
+        if gone[i] or h not in posted or h not in place:
+            continue
+        for step in (-1, 1):  # each line goes once, so this is linear in all
+            a, c = i, place[h]
+            while 0 <= a < len(later) and 0 <= c < len(earlier) and later[a] == earlier[c] and (a == i or not gone[a]):
+                gone[a] = True
+                a, c = a + step, c + step
+    return [i for i, x in enumerate(gone) if x]
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """key and the numbers of the lines that go, for each document that loses any."""
     table = written(line_table(docs), "lines")
     one = table.dropDuplicates(["key"])
-    held = one.select("key", F.explode(F.arrays_zip("hashes", "rare")).alias("x")).where("x.rare").select("key", F.col("x.hashes").alias("h"))
+    held = one.select("key", F.explode("posted").alias("h"))
     first = held.groupBy("h").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     pairs = held.join(first, "h").where("key <> first").groupBy("key", "first").agg(F.count("*").alias("shared"))
-    later = one.select("key", F.col("hashes").alias("a"), "rare")
+    later = one.select("key", F.col("hashes").alias("a"), "posted")
     earlier = one.select(F.col("key").alias("first"), F.col("hashes").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = []
-            for x, rare, y in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                gone.append([k for s, _, n in patience(x, y) if any(rare[s : s + n]) for k in range(s, s + n)])
+            gone = [lost(x, y, set(posted)) for x, posted, y in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
-    aligned = pairs.join(earlier, "first").join(later, "key").select("key", "a", "rare", "b").mapInArrow(run, "key struct<no_id: boolean, doc_id: long, digest: string>, gone array<int>")
-    # a document meets at most as many others as it has rare lines
+    aligned = pairs.join(earlier, "first").join(later, "key").select("key", "a", "posted", "b").mapInArrow(run, "key struct<no_id: boolean, doc_id: long, digest: string>, gone array<int>")
+    # a document meets at most as many others as it has posts
     return aligned.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")).where(F.size("gone") > 0)
 
 

@@ -256,6 +256,28 @@ def test_later_documents_lose_aligned_lines(spark):
     assert got[3]["text_kept"] == "short\nshort" and got[4]["n_lines"] == 0 and got[5]["text_kept"] == ""
 
 
+def test_no_long_line_of_an_earlier_document_stays(spark):
+    long = [f"this is line number {i} of the text" for i in range(9)]
+    texts = [
+        [long[0], "own a"], [long[0], "middle", long[0], "own b"], [long[1], long[2], long[1], long[2]], [long[1], "x", long[2], "x", long[1], long[2]], [long[1], long[2], long[1], long[2]],
+        [long[3], "s", long[3], long[4]], [long[4], "own c", long[3], "s"], ["a", "b", "a"], ["a ", "b", "a"], ["b", "a"], ["a", "b", "a", long[5]],
+    ]
+    r = random.Random(3)
+    texts += [[r.choice([*long, "", "p", "q", f"only document number {i} has this"]) for _ in range(r.randint(1, 9))] for i in range(60)]
+    rows = [(i, "\n".join(x)) for i, x in enumerate(texts)]
+    got = {x["doc_id"]: x for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["text_kept"] for i in range(11)] == [rows[0][1], "middle\nown b", rows[2][1], "x\nx", "", rows[5][1], "own c", "a\nb\na", "", "b\na", rows[10][1]]
+    seen, short = set(), set()
+    for i, text in enumerate(texts):
+        kept = got[i]["text_kept"].split("\n") if got[i]["n_removed"] < len(text) else []
+        assert [x for x in kept if len(x) >= lines.LEAST] == [x for x in text if len(x) >= lines.LEAST and x not in seen]
+        if all(len(x) < lines.LEAST for x in text):
+            sequence = tuple(x.strip() for x in text)
+            assert len(kept) == (0 if sequence in short else len(text))
+            short.add(sequence)
+        seen |= {x for x in text if len(x) >= lines.LEAST}
+
+
 # op 6
 
 
