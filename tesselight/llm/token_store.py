@@ -15,7 +15,9 @@ into segments in ascending ``doc_id`` order. A segment is one row of the store's
 ====================  =====================================================================
 
 So one document is read by seeking to ``data[offsets[i]:offsets[i + 1]]`` alone. The container is
-Parquet because Spark writes and reads it on any store that the cluster shares.
+Parquet because Spark writes and reads it on any store that the cluster shares. The dictionary lies
+beside the segments in a file named by its hash, which Spark's readers pass over, so the path alone
+is enough to :func:`open` a store.
 
 Edge cases: null text counts as empty (only the end id is stored); null ids sort first; repeated
 rows are stored repeatedly, in an order fixed by (doc_id, text); an empty table gives no segment;
@@ -49,6 +51,9 @@ SEGMENT_BYTES = 2 << 20
 #: Words a worker remembers; beyond, it keeps those of at most SHORT bytes.
 CACHE_WORDS, SHORT = 1_000_000, 7
 
+#: What the dictionary's file is called before its hash.
+DICTIONARY = "_dictionary-"
+
 SEGMENT = "shard int, seq int, first_token long, dict_hash string, doc_ids binary, null_ids binary, offsets binary, lengths binary, data binary"
 
 
@@ -152,7 +157,7 @@ def encoder(path: str) -> WordEncoder:
 
 @dataclass(frozen=True)
 class TokenStore:
-    """A written store: its segments, the dictionary and the first id of each shard."""
+    """A written store: its segments and the dictionary that lies beside them."""
 
     spark: SparkSession
     path: str
@@ -235,7 +240,36 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
 
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(pack, SEGMENT).write.option("compression", "uncompressed").parquet(out)
-    return TokenStore(spark, out, raw, digest)
+    fs, folder = _folder(spark, out)
+    stream = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, DICTIONARY + digest), False)
+    try:
+        stream.write(raw)
+    finally:
+        stream.close()
+    return open(spark, out)
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system that holds ``path``, and the path there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def open(spark: SparkSession, path: str) -> TokenStore:
+    """The store that :func:`write` left at ``path``, with its dictionary read from there."""
+    fs, folder = _folder(spark, path)
+    found = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith(DICTIONARY)]
+    if len(found) != 1:
+        raise ValueError(f"{path} holds {len(found)} dictionaries, not one")
+    digest = found[0].getName().removeprefix(DICTIONARY)
+    stream = fs.open(found[0])
+    try:
+        raw = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+    if hashlib.sha256(raw).hexdigest() != digest:
+        raise ValueError(f"the dictionary of {path} is not the one that its name says")
+    return TokenStore(spark, path, raw, digest)
 
 
 def _read(store: TokenStore, with_ids: bool) -> DataFrame:

@@ -178,6 +178,24 @@ def test_one_document_is_read_alone(docs):
     assert len(ids) == np.frombuffer(row["lengths"], "<u8")[1] and ids[-1] == token_store.END_ID
 
 
+def test_store_opens_from_its_path(spark, docs, empty, tmp_path):
+    written = token_store.write(docs, str(tmp_path / "store"))
+    want = sorted(tuple(x) for x in written.read().collect())
+    store = token_store.open(spark, str(tmp_path / "store"))
+    assert store.dictionary == written.dictionary and sorted(tuple(x) for x in store.read().collect()) == want
+    token_store.write(empty, str(tmp_path / "none"))
+    assert token_store.open(spark, str(tmp_path / "none")).read().count() == 0
+    file = tmp_path / "store" / (token_store.DICTIONARY + store.dict_hash)
+    for x in tmp_path.glob("store/.*.crc"):
+        x.unlink()
+    file.write_bytes(b"other bytes")
+    with pytest.raises(ValueError, match="dictionary"):
+        token_store.open(spark, str(tmp_path / "store"))
+    file.unlink()
+    with pytest.raises(ValueError, match="dictionaries"):
+        token_store.open(spark, str(tmp_path / "store"))
+
+
 def test_word_encoder_equals_the_tokenizer():
     e = token_store.WordEncoder(token_store.vocabulary())
     for t in ["", "  á e\ńx", "İstanbul ΣΑΣ.\x1c\x1d a b c\r\nd", "x<|endoftext|>y <|ENDOFTEXT|> z.", "don't we'll it's 'S é### x's!! “y”.. a5.. ²,", "ᄀ\nᅡ ̧c ﬁ.. ,. .", "THE the The. the, the!!"]:
