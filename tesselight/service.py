@@ -1,6 +1,7 @@
 """Requests as dictionaries, answers as JSON-ready dictionaries; HTTP and HTML around them.
 
-Each handler declares DataFrames and collects only what a client shows: winners, bins, pages.
+Each handler declares DataFrames and collects what a client shows: winners, bins, pages, and whole
+lists of values, rules, dependencies, cells and scan hits. Only answers with an offset are cut.
 Cell tables are cached by what they depend on and dropped in order of last use.
 """
 
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from .operators import capacity, cube, display, landscape, redundancy, rules, scan, screen, search, validation
 from .spec import MAX_WIDTH, Rule, Target, base_rate, certificate, framed, ordered_columns, resolve_target, void_reason
 
-CACHED_TABLES, CACHED_ANSWERS, MOST_ROWS = 8, 16, 500
+CACHED_TABLES, CACHED_ANSWERS = 8, 16
+#: Rows of a page, in answers that take an offset.
+MOST_ROWS = 500
 ROW = "_row"
 
 
@@ -40,8 +43,9 @@ def plain(x: Any) -> Any:
     return None if isinstance(x, float) and math.isnan(x) else x
 
 
-def listed(df: DataFrame, limit: int = MOST_ROWS) -> list[dict]:
-    return [plain(r) for r in df.limit(limit).collect()]
+def listed(df: DataFrame) -> list[dict]:
+    """All rows."""
+    return [plain(r) for r in df.collect()]
 
 
 class Job:
@@ -149,7 +153,7 @@ class Service:
 
     def columns(self, q: dict) -> dict:
         found: dict[str, list] = {}
-        for r in screen.catalogue(self.df).orderBy("col", "place").limit(MOST_ROWS * len(self.df.columns)).collect():
+        for r in screen.catalogue(self.df).orderBy("col", "place").collect():
             value = self.names["values"].get(r["value"], r["value"])
             found.setdefault(r["col"], []).append({"value": r["value"], "label": value, "n": r["n"], "share": r["share"]})
         return {"columns": [{"name": c, "label": display.humanised(c, self.names["columns"]), "values": found.get(c, [])} for c in self.df.columns]}
@@ -213,7 +217,7 @@ class Service:
             raise BadRequest(f"at most {rules.MOST_SCHEMAS} schemas")
         found = rules.enumerate_rules(frame, wanted, int(q.get("min_rows", 1))).persist()
         held = rules.holding(found, [tuple(c) for c in q.get("conditions", [])], q.get("widths"))
-        out = {"rules": listed(held, MOST_ROWS), "facets": listed(rules.facets(held)), "bars": listed(rules.bars(held))}
+        out = {"rules": listed(held), "facets": listed(rules.facets(held)), "bars": listed(rules.bars(held))}
         found.unpersist()
         return out
 

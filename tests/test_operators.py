@@ -204,6 +204,18 @@ def test_service(frame, tmp_path):
     assert "color" in open(page).read()
 
 
+def test_service_answers_whole(spark):
+    n = 1700  # more than 500 for each of three columns
+    df = spark.createDataFrame([(f"v{i}", str(int(i % 2 == 0)), "pq"[i % 2]) for i in range(n)], "aa string, hit string, zz string")
+    service = Service(df)
+    columns = {c["name"]: c["values"] for c in service.handle("/api/columns", {})[1]["columns"]}
+    assert [len(columns[c]) for c in df.columns] == [n, 2, 2]
+    q = {"column": "hit", "value": "1", "schemas": [["aa"], ["zz"]]}
+    status, answer = service.handle("/api/rules", q)
+    assert status == 200 and len({(tuple(r["features"]), tuple(r["cell"])) for r in answer["rules"]}) == len(answer["rules"]) == n + 2
+    assert [r["purity"] for r in answer["rules"]] == sorted((r["purity"] for r in answer["rules"]), reverse=True)
+
+
 def test_http(frame):
     server = build_server(frame.drop("id", "copy", "z"))
     Thread(target=server.serve_forever, daemon=True).start()
