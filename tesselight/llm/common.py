@@ -173,7 +173,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.n
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
     grams = np.zeros(max(0, n - k + 1), U64)
     factor = [U64((2 * i + 1) * 0xA0761D6478BD642F & (1 << 64) - 1 | 1) for i in range(1, k + 1)]
-    for i in range(k):
+    for i in range(k if n >= k else 0):  # a negative end of the slice would count from behind
         grams += words[i : n - k + 1 + i] * factor[i]
     mix(grams)
     out, sizes = [], np.zeros(len(counts), np.int64)

@@ -151,6 +151,20 @@ def test_word_hashes_do_not_depend_on_the_block():
     assert sorted(one.tolist()) == h[at[1] : at[2]].tolist() and np.diff(at).tolist() == [1, 3, 0, 1]
 
 
+def test_shingles_of_blocks_of_few_words():
+    def enc(ts):
+        b = [t.encode() for t in ts]
+        return np.frombuffer(b"".join(b), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in b])))
+
+    for n in range(8):
+        text = " ".join("abcdefgh"[:n])
+        for texts in ([text], ["", text], text.split(" ")):
+            h, at = common.shingle_sets(*enc(texts))
+            assert np.diff(at).tolist() == [len(oracle.shingles(t)) for t in texts]
+            together, where = common.shingle_sets(*enc([*texts, "b c d e f g h i"]))
+            assert h.tolist() == together[: where[len(texts)]].tolist()
+
+
 # op 3
 
 
