@@ -1,9 +1,10 @@
 """Secret scans (operator 9).
 
 All rules are compiled into one automaton (see :mod:`.automaton`), which reads the bytes of all
-texts once and reports where a rule can end. Only texts with such a place are looked at again:
-each rule that was reported there gets its leftmost non-overlapping matches, those that fail the
-rule's length are dropped, and spans become code points.
+texts once and reports where a rule can end. It is a filter of documents: of what it reports only
+the texts are used, not the places nor the rules. Each text with such a place is searched whole by
+every rule's regular expression (``re``, one pass a rule), which gives the leftmost non-overlapping
+matches; those that fail the rule's length are dropped, and spans are in code points.
 
 The automaton's rules are what every span must hold (a rule's first characters, up to its least
 length), so a text that it does not report holds no span; spans themselves come from the full rule, because a match that is too short still takes
