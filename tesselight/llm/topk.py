@@ -1,11 +1,12 @@
-"""Exact top-k by inner product with vector-approximation files (operator 10).
+"""Exact top-k by inner product with bounds from vector approximations (operator 10).
 
-Each component x becomes floor(64 * x). The approximation file holds, for each vector, the number
-of the cell that each component falls into; cells' edges are quantiles of a bounded sample, and the
+Each component x becomes floor(64 * x). There is no approximation file: a task reads its exact
+vectors in blocks and derives from each block, for each vector, the number of the cell that each
+component falls into; cells' edges are quantiles of a bounded sample, and the
 outermost edges are the block's own extremes, so every vector lies within its cells. For a query,
-the cells bound each vector's score from above (the nearest that it can be). Vectors are read in
-the order of that bound: the first few give a kth score, and only those whose bound reaches it can
-still belong to the answer; the rest is never read.
+the cells bound each vector's score from above (the nearest that it can be). Vectors are scored in
+two steps: the 2k of greatest bound give a kth score, and only those whose bound reaches it can
+still belong to the answer; the rest of the block is never scored.
 
 Queries go to the vectors in chunks of at most ``QUERIES`` (a broadcast of known size), read by
 ascending id until none is left; each task keeps the k best of its blocks and a window picks the k
