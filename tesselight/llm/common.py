@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,13 @@ def discard(*frames: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are no longer held."""
+    gc.collect()
+    if hasattr(spark, "_jvm"):  # not under Connect, whose server sees to it itself
+        spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,11 +14,15 @@
    shingles that they share with any other component, their reach: a link needs as much overlap,
    so a class (such as a copy with many edits of its own) whose reach is too short meets nobody.
    The others meet pivots again, in lists by bands of coordinates, which near copies share. What
-   is left is settled pair by pair, so no link between components is lost: a list's classes are
-   compared part by part, on reach, agreement of signatures and an upper bound of the overlap
-   from bitmaps, and the pairs that pass are confirmed or refuted on full sets.
+   is left is settled pair by pair, so no link between components is lost. Lists with the same
+   pivot (their smallest class) are one block, so that a pair is compared in few places however
+   many lists it shares; within a block, classes outside its largest component are compared with
+   all, on reach, agreement of signatures and an upper bound of the overlap from bitmaps, and the
+   pairs that pass are confirmed or refuted on full sets.
 
-A pair of similarity 0.75 agrees in fewer than 28 of 64 coordinates with probability below 1e-6.
+A pair of similarity 0.75 agrees in fewer than MATCHES = 20 of 64 coordinates with probability
+below 1e-13; that is the only way to miss a link. Within a block, comparisons (not rows) grow with
+its classes times those that no link has joined to its largest component.
 
 Edge cases: text that is null or has no words has an empty set, no links and is kept; rows that
 share a doc_id share its component; rows with a null doc_id take part in no link, have no component
@@ -35,16 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, release, shingle_sets, tasks, utf8, written
+from .common import U64, blocks, collected, release, shingle_sets, tasks, utf8, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 75  # words; percent
-COORDINATES, MATCHES = 64, 28
+COORDINATES, MATCHES = 64, 20
 PREFIX = COORDINATES - MATCHES + 1
 #: Rounds over bands of BAND coordinates.
 BAND_ROUNDS, BAND = 2, 6
-#: Bits of a class's bitmap, and classes of one list that a task compares with others.
-SKETCH, PART = 4096, 512
+#: Bits of a class's bitmap; classes of a block that are compared at once: outsiders, and all.
+SKETCH, PART, SLICE = 4096, 512, 512
 
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, (COORDINATES, 2), dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
@@ -157,65 +161,80 @@ def sketched(able: DataFrame, texts: DataFrame) -> DataFrame:
     return able.join(texts.join(able.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(run, "rep long, bits binary"), "rep")
 
 
-def left_over(near: DataFrame) -> DataFrame:
-    """(a, b): pairs that share a list, not a component, and may reach the similarity.
+def blocks_of(lists: DataFrame) -> DataFrame:
+    """(pivot, rep, comp): each class once for each pivot that heads a list of its.
 
-    A list is cut into parts of about PART classes, and each pair of parts is compared in arrays:
-    reach, agreement of signatures, and the overlap that the bitmaps allow (shingles whose bit the
-    other has not are no common ones). Only pairs that pass all are put out.
+    ``lists``: (token, rep, comp). A list's pivot is its smallest class, so two classes that share
+    a list share its pivot, and the many lists of one group of near copies, whose pivot is mostly
+    the same, become one block. A block holds no class without a list in common with its pivot.
     """
-    sizes = near.groupBy("token").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    dealt = near.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "s", "signature", "bits")
-
-    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        i, j = rows[0][1:3]
-        own = np.array([r[3] for r in rows])
-        rep, comp, n, s = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6, 7))
-        sig = np.array([r[8] for r in rows], np.int32)
-        bits = np.frombuffer(b"".join(r[9] for r in rows), np.uint64).reshape(len(rows), -1)
-        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    heads = lists.groupBy("token").agg(F.min("rep").alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return lists.join(heads.select("token", "pivot"), "token").select("pivot", "rep", "comp").distinct()
+
+
+def left_over(block: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): pairs that share a block, not a component, and may reach the similarity.
+
+    ``classes``: (rep, n, s, signature, bits). A pair lies in a block with one class at least
+    outside of the block's largest component. Such outsiders are dealt into parts of about PART
+    and all classes into slices of about SLICE; each cell, a part beside a slice, is compared in
+    arrays: reach, agreement of signatures, and the overlap that the bitmaps allow (shingles whose
+    bit the other has not are no common ones). Only pairs that pass all are put out. A class
+    stands in as many cells as its block has parts (and slices, if it is an outsider): once or
+    twice, but in blocks with many classes that no link has joined.
+    """
+    each = block.groupBy("pivot", "comp").agg(F.count("*").alias("m"))
+    sizes = each.groupBy("pivot").agg(F.sum("m").alias("all"), F.max(F.struct("m", F.col("comp").alias("of"))).alias("top")).where("top.m < all")
+    sizes = sizes.select("pivot", F.col("top.of").alias("inner"), F.ceil((F.col("all") - F.col("top.m")) / PART).cast("int").alias("parts"), F.ceil(F.col("all") / SLICE).cast("int").alias("slices"))
+    dealt = block.join(sizes, "pivot").withColumns({"part": F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), "slice": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("slices")).cast("int")})
+    along = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("i"), F.col("slice").alias("j"), F.lit(False).alias("out")))
+    across = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("out")))
+    cells = dealt.select("pivot", "rep", "comp", F.explode(F.when(F.col("comp") == F.col("inner"), along).otherwise(F.concat(along, across))).alias("x"))
+    cells = cells.select("pivot", "x.i", "x.j", "x.out", "rep", "comp").join(classes, "rep")
+
+    def compare(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        out, rep, comp, n, s = (cell.column(k).to_numpy() for k in (3, 4, 5, 6, 7))
+        sig = cell.column(8).combine_chunks().flatten().to_numpy().reshape(len(rep), COORDINATES)
+        bits = utf8(cell.column(9))[0].view(np.uint64).reshape(len(rep), -1)
+        x, y = np.flatnonzero(out), np.flatnonzero(~out)
         least = np.minimum(s[x][:, None], s[y][None, :])
         able = (comp[x][:, None] != comp[y][None, :]) & (100 * least >= SIMILARITY * (n[x][:, None] + n[y][None, :] - least))
-        if i == j:
-            able &= rep[x][:, None] < rep[y][None, :]
-        if able.any():
-            agree = np.zeros(able.shape, np.int16)
-            for c in range(COORDINATES):
-                agree += sig[x, c][:, None] == sig[y, c][None, :]
-            p, q = np.nonzero(able & (agree >= MATCHES))
-            p, q = x[p], y[q]
-            for at in range(0, len(p), 1 << 14):
-                u, v = p[at : at + (1 << 14)], q[at : at + (1 << 14)]
-                most = np.minimum(n[u] - np.bitwise_count(bits[u] & ~bits[v]).sum(1, dtype=np.int64), n[v] - np.bitwise_count(bits[v] & ~bits[u]).sum(1, dtype=np.int64))
-                good = 100 * most >= SIMILARITY * (n[u] + n[v] - most)
-                yield from zip(np.minimum(rep[u], rep[v])[good].tolist(), np.maximum(rep[u], rep[v])[good].tolist())
+        p, q = np.nonzero(able)
+        p, q = x[p], y[q]
+        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(p), 1 << 14):
+            u, v = p[at : at + (1 << 14)], q[at : at + (1 << 14)]
+            good = (sig[u] == sig[v]).sum(1) >= MATCHES
+            u, v = u[good], v[good]
+            most = np.minimum(n[u] - np.bitwise_count(bits[u] & ~bits[v]).sum(1, dtype=np.int64), n[v] - np.bitwise_count(bits[v] & ~bits[u]).sum(1, dtype=np.int64))
+            good = 100 * most >= SIMILARITY * (n[u] + n[v] - most)
+            found.append(np.column_stack([np.minimum(rep[u], rep[v])[good], np.maximum(rep[u], rep[v])[good]]))
+        return np.unique(np.concatenate(found), axis=0).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and row[:3] != held[-1][:3]:
-                    out += compare(held)
-                    held.clear()
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 2, ["a", "b"])
-        if held:
-            out = list(compare(held))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 2, ["a", "b"])
-
-    keys = ["token", "i", "j"]
-    return dealt.repartition(tasks(near.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+        held: list[pa.RecordBatch] = []
+        own = None
 
+        def pairs() -> pa.RecordBatch:
+            a, b = compare(pa.Table.from_batches(held))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-def _collected(spark) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer held."""
-    import gc
+        for batch in batches:
+            keys = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if s < e and held and keys[s].tolist() != own:
+                    yield pairs()
+                    held.clear()
+                if s < e:
+                    own = keys[s].tolist()
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield pairs()
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    keys = ["pivot", "i", "j"]
+    cells = cells.select(*keys, "out", "rep", "comp", "n", "s", "signature", "bits")
+    return cells.repartition(tasks(block.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -227,7 +246,7 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = written(classes, "classes")
     lists = written(postings(classes), "postings")
     texts = written(docs.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), "candidates", compression="zstd")
-    _collected(spark)
+    collected(spark)
     # a doc_id with several texts ties their classes together
     several = every.where("n_shingles > 0 and doc_id is not null").join(classes.select("set_hash", "rep"), "set_hash").where("doc_id <> rep")
     ids = several.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
@@ -246,7 +265,7 @@ def groups(docs: DataFrame) -> DataFrame:
         if not pairs.isEmpty():
             links = links.unionAll(written(confirm(pairs, texts).select(F.col("a").alias("u"), F.col("b").alias("v")), "links"))
             found = components(links)
-            _collected(spark)
+            collected(spark)
 
     settle(_pivots(placed(lists)))
     now = placed(lists)
@@ -257,8 +276,8 @@ def groups(docs: DataFrame) -> DataFrame:
         order = np.random.Generator(np.random.PCG64(turn)).permutation(COORDINATES).tolist()
         bands = [F.xxhash64(F.lit(i), *[F.col("signature")[c] for c in order[i : i + BAND]]) for i in range(0, COORDINATES - BAND + 1, BAND)]
         settle(_pivots(placed(able.select("rep", F.explode(F.array(*bands)).alias("token")))))
-    near = written(placed(open_.drop("comp").join(sketched(able, texts), "rep")), "near")
-    settle(left_over(near))
+    near = written(blocks_of(placed(open_.drop("comp").join(able.select("rep"), "rep", "left_semi"))), "near")
+    settle(left_over(near, sketched(able, texts)))
     joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_hash").alias("h"), F.coalesce("label", "rep").alias("comp"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("set_hash") == F.col("h"))
     out = every.select("doc_id", "n_shingles", "set_hash").join(joined, linked, "left")

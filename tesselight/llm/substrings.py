@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, U64, _powers, blocks, discard, mix, tasks, utf8, written
+from .common import _BASE, _BYTE, U64, _powers, blocks, collected, discard, mix, tasks, utf8, written
 from .suffix import bucket_orders
 
 LENGTH, GRAM = 100, 40
@@ -356,51 +356,43 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(docs.sparkSession.createDataFrame(ordered, "doc long, doc_id long, text string"), "numbered")
 
 
-def _collected(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer held."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def spans(docs: DataFrame) -> DataFrame:
     """(doc, s, e): spans to remove of ``docs`` (doc, text); they may overlap."""
     spark = docs.sparkSession
     long = docs.where(F.octet_length("text") >= LENGTH)
     found = _found(long)
     often = written(_hashes(long).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    _collected(spark)
+    collected(spark)
     # one row a key on the smaller side: hashed, so that the larger need not be sorted
     found = written(found.join(often.hint("shuffle_hash"), "h").select("h", "c", "doc", "p"), "anchors")
     discard(often)
-    _collected(spark)
+    collected(spark)
     summed = written(_summed(found, "p"), "contexts")
-    _collected(spark)
+    collected(spark)
     whole = _copies(found, summed, "p").select("doc", F.greatest(F.col("p") - _SIDE, F.lit(0)).alias("s"), (F.col("p") + LENGTH).alias("e"))
     out = [written(_merged(whole), "copies")]
     discard(found)
-    _collected(spark)
+    collected(spark)
     bytes_ = written(_cut(long, _several(summed)), "cut", compression="zstd")
     discard(summed)
-    _collected(spark)
+    collected(spark)
     out.append(written(_sorted_spans(bytes_.where(F.col("k") <= HOT)), "spans"))
-    _collected(spark)
+    collected(spark)
     hot = bytes_.where(F.col("k") > HOT)
     for starts in (8, 1):
         if hot.isEmpty():
             break
         found = written(_pieces(hot, starts), "pieces", compression="zstd")
         summed = written(_summed(found, "at", "a", "bytes"), "contexts", compression="zstd")
-        _collected(spark)
+        collected(spark)
         again = _copies(found.select("h", "c", "doc", "at", F.octet_length("bytes").alias("size")), summed, "at")
         out.append(written(_merged(again.select("doc", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))), "copies"))
         discard(found)
-        _collected(spark)
+        collected(spark)
         several = written(_several(summed), "cut", compression="zstd")
         discard(summed)
         out.append(written(_sorted_spans(several.where(F.col("k") <= HOT)), "spans"))
-        _collected(spark)
+        collected(spark)
         hot = several.where(F.col("k") > HOT)
     spans_ = out[0]
     for x in out[1:]:
