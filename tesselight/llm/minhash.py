@@ -186,6 +186,7 @@ def left_over(block: DataFrame, classes: DataFrame) -> DataFrame:
     each = block.groupBy("pivot", "comp").agg(F.count("*").alias("m"))
     sizes = each.groupBy("pivot").agg(F.sum("m").alias("all"), F.max(F.struct("m", F.col("comp").alias("of"))).alias("top")).where("top.m < all")
     sizes = sizes.select("pivot", F.col("top.of").alias("inner"), F.ceil((F.col("all") - F.col("top.m")) / PART).cast("int").alias("parts"), F.ceil(F.col("all") / SLICE).cast("int").alias("slices"))
+    sizes = written(sizes, "sizes")  # so that the join below can be dealt anew where a block is large
     dealt = block.join(sizes, "pivot").withColumns({"part": F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), "slice": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("slices")).cast("int")})
     along = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("i"), F.col("slice").alias("j"), F.lit(False).alias("out")))
     across = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("out")))
