@@ -8,6 +8,7 @@ into segments in ascending ``doc_id`` order. A segment is one row of the store's
 ``shard``, ``seq``    place of the segment; (shard, seq) order is document order
 ``first_token``       ids in the segments of this shard before this one
 ``dict_hash``         SHA-256 of the dictionary that its frames need
+``low``, ``high``     least and greatest doc_id (null if all are), by which a look-up skips
 ``doc_ids``           little-endian int64 per document; null ids are flagged in ``null_ids``
 ``offsets``           little-endian uint64, n + 1 byte offsets into ``data``
 ``lengths``           little-endian uint64, ids per document
@@ -20,15 +21,18 @@ beside the segments in a file named by its hash, which Spark's readers pass over
 is enough to :func:`open` a store.
 
 Edge cases: null text counts as empty (only the end id is stored); null ids sort first; repeated
-rows are stored repeatedly, in an order fixed by (doc_id, text); an empty table gives no segment;
+rows are stored repeatedly, in an order fixed by doc_id and text; an empty table gives no segment;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import builtins
 import hashlib
+import json
+import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,8 +46,9 @@ from .common import KEPT, blocks, release, scratch, tasks, utf8
 
 #: Id that ends each document.
 END_ID = 2
-#: The dictionary is trained on the id arrays of this many documents (fewest, by hash of doc_id).
-DICT_SAMPLE = 400
+#: The dictionary is trained on the id arrays of this many documents (fewest, by hash of doc_id), cut
+#: into pieces; if there are more than DICT_PIECES of these, on those of least hash.
+DICT_SAMPLE, DICT_PIECE, DICT_PIECES = 400, 32 << 10, 512
 DICT_BYTES = 64 << 10
 LEVEL = 1
 #: A segment is closed when it holds this many raw bytes of ids.
@@ -54,7 +59,7 @@ CACHE_WORDS, SHORT = 1_000_000, 7
 #: What the dictionary's file is called before its hash.
 DICTIONARY = "_dictionary-"
 
-SEGMENT = "shard int, seq int, first_token long, dict_hash string, doc_ids binary, null_ids binary, offsets binary, lengths binary, data binary"
+SEGMENT = "shard int, seq int, first_token long, dict_hash string, low long, high long, doc_ids binary, null_ids binary, offsets binary, lengths binary, data binary"
 
 
 def vocabulary() -> str:
@@ -63,35 +68,66 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Case and line feeds, in texts that allow for it.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(256))
-
-
+#: ASCII marks but for apostrophes, which the splitter takes together with letters.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of U+0300 and beyond, and U+0130, whose small letter is one followed by a combining mark.
+_BEYOND = re.compile(rb"[\xcc-\xff]|\xc4\xb0")
+#: What :class:`WordEncoder` relies on in a tokenizer's file. Fixed values.
+_SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_EXPECTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _SPLITTER}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+class TextEncoder:
+    """Whole texts through a tokenizer's file, whatever is in it."""
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def _ends_in_letter(word: bytes) -> bool:
-    last = word[-1:]
-    return last.isalpha() or last >= b"\x80" and word.decode("utf-8", "replace")[-1].isalpha()
-
-
-class WordEncoder:
-    """A tokenizers encoder that encodes each distinct word once.
+        self.model = Tokenizer.from_file(path)
 
-    The vocabulary drops white space, ignores case and works on each word by itself, so a text's
-    ids are its words' ids in a row. Texts are cut at spaces and line feeds only, which both
-    Unicode's and the tokenizer's notion of white space include; anything else is left to the
-    tokenizer. ASCII marks (but for apostrophes) that end a word after a letter are always a piece
-    of their own, so such a word's ids are those of the word and of the marks. Case is folded for A-Z alone, and not in
-    texts that may hold the special tokens, which the tokenizer looks for in the raw text.
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each UTF-8 text."""
+        found = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+
+class WordEncoder(TextEncoder):
+    """The same ids, with each distinct word encoded once.
+
+    For files that normalise by NFC, white space to blanks and small letters, then keep the runs of
+    letters, single numbers, runs of marks and English endings as pieces, each encoded by itself:
+
+    * No piece holds white space, and NFC composes nothing with a blank or line feed, so a text's
+      ids are those of its parts between blanks and line feeds in a row. Special tokens hold
+      neither, so each lies in one part.
+    * Below U+0300 nothing composes, and A-Z fold to themselves in small: such texts are folded
+      first, unless they may hold a special token, which is looked for in the raw text. Beyond,
+      NFC comes before case (H with a macron below stays two characters, h becomes one), so those
+      texts are not folded.
+    * Without characters of U+0300 and beyond, or U+0130, a letter stays one letter. A part that is
+      such letters and then marks other than apostrophes is split between them by the splitter, so
+      its ids are those of the two.
+    * Words of such letters alone are one piece each, so at most one of a word's ids ends a word.
+      Many are encoded in one call, and if as many ids end words as there are words, these ids
+      separate them. All other words are encoded one by one.
     """
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        super().__init__(path)
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.model = Tokenizer.from_file(path)
         # for words of a-z alone, which the file's normaliser and splitter leave as they are
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
@@ -100,41 +136,47 @@ class WordEncoder:
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def _one_by_one(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        found = self.model.encode_batch_fast(words, add_special_tokens=False)
-        return [(w.encode(), array("I", e.ids).tobytes()) for w, e in zip(words, found)]
+    @staticmethod
+    def suits(path: str) -> bool:
+        with builtins.open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        added = [t["content"] for t in config["added_tokens"]]
+        own = all(t.startswith("<|") and not t.split()[1:] for t in added) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in config["added_tokens"])
+        model = config["model"]
+        return own and all(config[k] == v for k, v in _EXPECTED.items()) and config["post_processor"] is None and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode words; those of letters alone many at a time, told apart by the ids that end words."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        rest = [t for t in texts if not t.isalpha()]
-        letters = [t for t in texts if t.isalpha()]
-        ascii_ = [t for t in letters if t.isascii() and t.islower()]
-        other = [t for t in letters if not (t.isascii() and t.islower())]
-        for model, own in ((self.plain, ascii_), (self.model, other)):
+        small, other, rest = [], [], []
+        for w in words:
+            if w.isalpha() and w.islower():  # of bytes: a-z
+                small.append(w)
+            elif not _BEYOND.search(w) and w.decode().isalpha():
+                other.append(w)
+            else:
+                rest.append(w)
+        for model, own in ((self.plain, small), (self.model, other)):
             chunks = [own[i : i + 256] for i in range(0, len(own), 256)]
-            for chunk, e in zip(chunks, model.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+            for chunk, e in zip(chunks, model.encode_batch_fast([b" ".join(c).decode() for c in chunks], add_special_tokens=False)):
                 ids = np.array(e.ids, "<u4")
                 cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-                if len(cut) != len(chunk):
+                if len(cut) != len(chunk) or cut[-1] != 4 * len(ids):
                     rest += chunk
                     continue
                 flat = ids.tobytes()
-                self.known.update(zip([w.encode() for w in chunk], [flat[a:b] for a, b in zip([0, *cut], cut)]))
-        self.known.update(self._one_by_one(rest))
+                self.known.update(zip(chunk, [flat[a:b] for a, b in zip([0, *cut], cut)]))
+        self.known.update(zip(rest, super().encode(rest)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each UTF-8 text."""
         if len(self.known) > CACHE_WORDS:  # short words come back most
             self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
         known = self.known
-        cut = [(t.replace(b"\n", b" ") if b"<|" in t else t.translate(_FOLD)).split(b" ") for t in texts]
+        cut = [(t.replace(b"\n", b" ") if b"<|" in t or _BEYOND.search(t) else t.translate(_FOLD)).split(b" ") for t in texts]
         new = set().union(*cut).difference(known)
         if new:
             marked = {}
             for w in new:
                 stem = w.rstrip(_MARKS)
-                if len(stem) < len(w) and _ends_in_letter(stem) and b"<|" not in w:
+                if len(stem) < len(w) and not _BEYOND.search(stem) and stem.decode()[-1:].isalpha() and b"<|" not in w:
                     marked[w] = (stem, w[len(stem) :])
             parts = {x for pair in marked.values() for x in pair}
             self._learn([w for w in new.difference(marked).union(parts) if w not in known])
@@ -144,14 +186,14 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in cut]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 KEPT.append(_ENCODERS)
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
     """One encoder for each worker process, which Spark uses for many tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = (WordEncoder if WordEncoder.suits(path) else TextEncoder)(path)
     return _ENCODERS[path]
 
 
@@ -171,6 +213,17 @@ class TokenStore:
         """Documents read back: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (binary)."""
         return _read(self, ids)
 
+    def document(self, doc_id: int) -> list[np.ndarray]:
+        """Ids of the documents of this doc_id, from their own frames alone, in the store's order."""
+        at = self.segments().where((F.col("low") <= doc_id) & (F.col("high") >= doc_id)).orderBy("shard", "seq")
+        unzip = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(self.dictionary))
+        out = []
+        for row in at.toLocalIterator():
+            offsets = np.frombuffer(row["offsets"], "<u8")
+            mine = (np.frombuffer(row["doc_ids"], "<i8") == doc_id) & (np.frombuffer(row["null_ids"], np.uint8) == 0)
+            out += [np.frombuffer(unzip.decompress(row["data"][offsets[i] : offsets[i + 1]]), "<u4") for i in np.flatnonzero(mine).tolist()]
+        return out
+
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A zstandard dictionary from serialised id arrays of a bounded, fixed sample."""
@@ -182,9 +235,11 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x[: DICT_BYTES // 2] for x in e.encode(b.column(0).cast("binary").to_pylist())], pa.binary())], ["ids"])
+            whole = e.encode(b.column(0).cast("binary").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i : i + DICT_PIECE] for x in whole for i in range(0, len(x), DICT_PIECE)], pa.binary())], ["ids"])
 
-    arrays = [bytes(r[0]) for r in sample.select("text").mapInArrow(encode, "ids binary").collect()]
+    pieces = sample.select("text").mapInArrow(encode, "ids binary").orderBy(F.xxhash64("ids"), "ids").limit(DICT_PIECES)
+    arrays = [bytes(r[0]) for r in pieces.collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, arrays).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples: their own bytes serve as content
@@ -214,12 +269,13 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
         def segment() -> pa.RecordBatch:
             nonlocal seq, first, held
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in frames]))).astype("<u8")
-            row = [shard, seq, first, digest, np.array(ids, "<i8").tobytes(), np.array(nulls, np.uint8).tobytes(), offsets.tobytes(), np.array(lengths, "<u8").tobytes(), b"".join(frames)]
+            there = [d for d, z in zip(ids, nulls) if not z]
+            row = [shard, seq, first, digest, min(there, default=None), max(there, default=None), np.array(ids, "<i8").tobytes(), np.array(nulls, np.uint8).tobytes(), offsets.tobytes(), np.array(lengths, "<u8").tobytes(), b"".join(frames)]
             seq, first, held = seq + 1, first + sum(lengths), 0
             for x in (ids, nulls, lengths, frames):
                 x.clear()
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["shard", "seq", "first_token", "dict_hash", "doc_ids", "null_ids", "offsets", "lengths", "data"])
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["shard", "seq", "first_token", "dict_hash", "low", "high", "doc_ids", "null_ids", "offsets", "lengths", "data"])
 
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
@@ -238,7 +294,8 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
         if ids:
             yield segment()
 
-    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share a doc_id, or have none, are told apart by a hash, so that they spread
+    ordered = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     ordered.mapInArrow(pack, SEGMENT).write.option("compression", "uncompressed").parquet(out)
     fs, folder = _folder(spark, out)
     stream = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, DICTIONARY + digest), False)
