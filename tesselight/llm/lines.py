@@ -14,7 +14,7 @@ that an earlier one holds, and no copy of a document of shorter lines.
 
 Edge cases: null text has no lines; rows that share doc_id and text are one document and don't
 count as earlier or later; rows that share doc_id alone are ordered by digest; rows with a null
-doc_id come after all others; an empty table gives no rows; other columns pass through.
+doc_id come after all others; an empty table gives no rows; other columns pass through as they are.
 """
 
 from __future__ import annotations
@@ -141,8 +141,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     table = written(line_table(docs), "lines")
     one = table.dropDuplicates(["key"])
     held = one.select("key", F.explode("posted").alias("h"))
-    first = held.groupBy("h").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    pairs = held.join(first, "h").where("key <> first").groupBy("key", "first").agg(F.count("*").alias("shared"))
+    # a table of its own, so that the join below can be dealt anew where one line has many holders
+    first = written(held.groupBy("h").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"), "firsts")
+    pairs = written(held.join(first, "h").where("key <> first").select("key", "first").distinct(), "pairs")
     later = one.select("key", F.col("hashes").alias("a"), "posted")
     earlier = one.select(F.col("key").alias("first"), F.col("hashes").alias("b"))
 
@@ -157,12 +158,15 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with text_kept, n_lines and n_removed."""
+    """``docs`` with text_kept, n_lines and n_removed (with ``_`` before a name that ``docs`` has)."""
     key, own, lost = (fresh(docs, x) for x in ("gone_key", "own_key", "gone_lines"))
     gone = repeated(docs).select(F.col("key").alias(key), F.col("gone").alias(lost))
     marked = docs.withColumn(own, _key()).join(gone, F.col(own) == F.col(key), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(lost, s["i"]))["x"], "\n")
+    # by a hash set of the lost lines' numbers, so in proportion to the lines
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     fewer = F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost))
-    return marked.withColumns({"text_kept": F.when(fewer > 0, kept).otherwise(F.col("text")), "n_lines": n.cast("long"), "n_removed": fewer.cast("long")}).drop(own, key, lost)
+    made = {"text_kept": F.when(fewer > 0, kept).otherwise(F.col("text")), "n_lines": n.cast("long"), "n_removed": fewer.cast("long")}
+    return marked.withColumns({fresh(docs, c): x for c, x in made.items()}).drop(own, key, lost)
