@@ -7,7 +7,12 @@ parsed records into WARC/1.1 records: an identifier (UUID) made from URL, date a
 timestamp from the 14 digits, a type, and SHA-1 digests. Archives are kept as gzip members, one
 for each record, packed into segments (rows of ``archive``, ``seq``, ``data``) of a table below the
 shared folder, so that any store that the cluster shares will do; :func:`export` writes them as
-plain ``.warc.gz`` files.
+plain ``.warc.gz`` files. An archive's version block becomes a warcinfo record, a body that is an HTTP
+response a response, any other body a resource.
+
+:func:`convert_files` converts stored ``.arc`` and ``.arc.gz`` files. :func:`write` takes a table of
+pages the same way: each task puts its pages into legacy archives, of both versions in turn, and
+parses and converts those.
 
 Of records with equal payloads of at least ``least`` bytes the one with the smallest page_id is a
 response and the others are revisits of it, without payload; smaller ones are all responses.
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, written
 
 #: Fixed by the two versions of the format.
 FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "code", "checksum", "location", "offset", "file", "length")}
@@ -70,8 +75,11 @@ def arc_bytes(records: list[ArcRecord], version: int, name: str = "legacy.arc")
     return b"".join(out)
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file of either version, by the lengths that its header lines declare."""
+def parse_arc(data: bytes, block: bool = False) -> Iterator[ArcRecord]:
+    """Records of an ARC file of either version, by the lengths that its header lines declare.
+
+    ``block``: the version block too, as first record; its code is the version.
+    """
     at, fields = 0, None
     while at < len(data):
         if data[at : at + 1] == b"\n":
@@ -89,6 +97,8 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
             if version not in FIELDS:
                 raise ValueError(f"unknown ARC version {version}")
             fields = FIELDS[version]
+            if block:
+                yield ArcRecord(values[0], values[1], values[2], values[3], str(version), body)
             continue
         if len(values) > len(fields):  # old URLs may hold spaces
             values = [" ".join(values[: len(values) - len(fields) + 1]), *values[len(values) - len(fields) + 1 :]]
@@ -106,25 +116,30 @@ def identifier(url: str, date: str, place: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place} {date} {url}')}>"
 
 
-def convert(r: ArcRecord, place: object, refers: tuple[object, str, str] | None = None) -> bytes:
+def convert(r: ArcRecord, place: object, refers: tuple[object, str, str] | None = None, name: object = None) -> bytes:
     """A WARC record of an ARC record whose body is an HTTP response.
 
-    ``place`` is the row it came from; ``refers``: the row, URL and date of the record that it
-    repeats, which makes it a revisit.
+    ``place`` is the row it came from (``name``: what else tells its place); ``refers``: the row, URL and date of the record that it
+    repeats, which makes it a revisit. A version block becomes a warcinfo record, any other body
+    that is no HTTP response a resource.
     """
+    if r.url.startswith("filedesc://"):
+        block = f"software: tesselight\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC version {r.code}, {r.url}\r\n".encode("utf-8", "surrogateescape")
+        return _record(["WARC-Type: warcinfo", f"WARC-Record-ID: {identifier(r.url, r.date, name or place)}", f"WARC-Date: {stamp(r.date)}", f"WARC-Filename: {r.url[11:]}", f"WARC-Block-Digest: sha1:{sha1(block)}", "Content-Type: application/warc-fields"], block)
+    if not r.body.startswith(b"HTTP/"):
+        lines = ["WARC-Type: resource", f"WARC-Record-ID: {identifier(r.url, r.date, name or place)}", f"WARC-Date: {stamp(r.date)}", f"WARC-Target-URI: {r.url}", f"WARC-IP-Address: {r.ip}", f"WARC-Payload-Digest: sha1:{sha1(r.body)}", f"WARC-Block-Digest: sha1:{sha1(r.body)}", f"Content-Type: {r.mime}"]
+        return _record(lines, r.body)
     http, _, payload = r.body.partition(b"\r\n\r\n")
     block = http + b"\r\n\r\n" + (b"" if refers else payload)
     lines = [
-        "WARC/1.1",
         f"WARC-Type: {'revisit' if refers else 'response'}",
-        f"WARC-Record-ID: {identifier(r.url, r.date, place)}",
+        f"WARC-Record-ID: {identifier(r.url, r.date, name or place)}",
         f"WARC-Date: {stamp(r.date)}",
         f"WARC-Target-URI: {r.url}",
         f"WARC-IP-Address: {r.ip}",
         f"WARC-Payload-Digest: sha1:{sha1(payload)}",
         f"WARC-Block-Digest: sha1:{sha1(block)}",
         "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
     ]
     if place is not None:
         lines.append(f"WARC-Source-Row: {place}")
@@ -137,7 +152,11 @@ def convert(r: ArcRecord, place: object, refers: tuple[object, str, str] | None
             f"WARC-Refers-To-Source-Row: {refers[0]}",
             "WARC-Truncated: length",
         ]
-    return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return _record(lines, block)
+
+
+def _record(lines: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}"]).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -186,15 +205,22 @@ class Archive:
                 for data in b.column(0).to_pylist():
                     rows = []
                     for h, block in parse_warc(data):
+                        if h["warc-type"] == "warcinfo":
+                            continue
+                        if h["warc-type"] == "resource":
+                            rows.append((None, len(block), h["warc-payload-digest"].removeprefix("sha1:"), "resource", None, h["warc-target-uri"], h["warc-date"], h["warc-record-id"]))
+                            continue
                         http, _, payload = block.partition(b"\r\n\r\n")
-                        declared = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                        # a revisit has no payload: its length stands in the HTTP header alone; old servers often left it out
+                        declared = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
                         digest = h["warc-payload-digest"].removeprefix("sha1:")
-                        if h["warc-type"] == "response" and (len(payload) != declared or sha1(payload) != digest):
+                        if h["warc-type"] == "response" and sha1(payload) != digest:
                             raise ValueError(f"payload of {h['warc-record-id']} does not match its headers")
                         place, refers = h.get("warc-source-row"), h.get("warc-refers-to-source-row")
-                        rows.append((place and int(place), declared, digest, h["warc-type"], refers and int(refers), h["warc-target-uri"], h["warc-date"], h["warc-record-id"]))
+                        rows.append((place and int(place), declared if refers else len(payload), digest, h["warc-type"], refers and int(refers), h["warc-target-uri"], h["warc-date"], h["warc-record-id"]))
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 3]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "warc_date", "record_id"])
+                    cols = list(zip(*rows)) or [()] * 8
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "warc_date", "record_id"])
 
         return self.segments().select("data").mapInArrow(parse, PARSED)
 
@@ -206,20 +232,27 @@ def write(pages: DataFrame, least: int = 0, path: str | None = None) -> Archive:
     # each payload's first page; partial aggregation leaves a row per payload and task
     key = F.struct(F.sha1("payload").alias("h"), F.length("payload").alias("n"))
     pages = pages.withColumn("key", key)
-    first = pages.where(F.length("payload") >= least).groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull().alias("z"), F.col("page_id"), F.col("url"))).alias("first"))
-    linked = pages.join(first.withColumnRenamed("key", "key2"), F.col("key") == F.col("key2"), "left").select("page_id", "url", "payload", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    first = pages.where(F.length("payload") >= least).groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull().alias("z"), F.col("page_id"), F.col("url"))).alias("first"), F.count("*").alias("many")).where("many > 1")
+    # a table of its own, so that the join below can be dealt anew where one payload has many pages
+    first = written(first.select(F.col("key").alias("key2"), "first"), "firsts")
+    linked = pages.join(first, F.col("key") == F.col("key2"), "left").select("page_id", "url", "payload", F.coalesce("first.page_id", "page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     out = path or scratch(spark, "warc")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        archive, seq, members, held = TaskContext.get().partitionId(), 0, [], 0
+        archive, seq, held = TaskContext.get().partitionId(), 0, 0
+        pending: list[tuple[ArcRecord, object, tuple | None]] = []
 
         def segment() -> pa.RecordBatch:
             nonlocal seq, held
+            legacy = arc_bytes([r for r, _, _ in pending], 1 + seq % 2, f"{archive}-{seq}.arc")
+            members = []
+            for r, (_, page, refers) in zip(parse_arc(legacy, block=True), [(None, f"{archive}-{seq}", None), *pending], strict=True):
+                members.append(gzip.compress(convert(r, page, refers), 6, mtime=0))
             row = pa.RecordBatch.from_arrays([pa.array([archive], pa.int32()), pa.array([seq], pa.int32()), pa.array([b"".join(members)], pa.binary())], ["archive", "seq", "data"])
             seq, held = seq + 1, 0
-            members.clear()
+            pending.clear()
             return row
 
         for b in batches:
@@ -227,20 +260,50 @@ def write(pages: DataFrame, least: int = 0, path: str | None = None) -> Archive:
             for i in range(b.num_rows):
                 page, url, payload, first_id = ids[i].as_py(), _clean(urls[i].as_py()), payloads[i].as_py(), firsts[i].as_py()
                 body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-                legacy = arc_bytes([ArcRecord(url, "0.0.0.0", _date(page), "text/html", "200", body)], 1 + (page or 0) % 2)
                 refers = None if first_id is None or first_id == page else (first_id, _clean(first_urls[i].as_py()), _date(first_id))
-                for r in parse_arc(legacy):
-                    members.append(gzip.compress(convert(r, page, refers), 6, mtime=0))
-                    held += len(members[-1])
+                pending.append((ArcRecord(url, "0.0.0.0", _date(page), "text/html", "200", body), page, refers))
+                held += len(body)
                 if held >= SEGMENT_BYTES:
                     yield segment()
-        if members:
+        if pending:
             yield segment()
 
     linked.mapInArrow(pack, SEGMENT).write.option("compression", "uncompressed").parquet(out)
     return Archive(spark, out)
 
 
+def convert_files(spark: SparkSession, source: str, path: str | None = None) -> Archive:
+    """Convert the ``.arc`` and ``.arc.gz`` files below ``source``, on any store that Spark reads.
+
+    A file is read whole, as one task's row, so it has to be below 2 GB (the format's own files are
+    of 100 MB). Its records keep its name as place; equal payloads are not linked.
+    """
+    out = path or scratch(spark, "warc")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        archive, seq = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                members: list[bytes] = []
+                held = 0
+                for k, r in enumerate(parse_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, block=True)):
+                    members.append(gzip.compress(convert(r, None, None, f"{name}#{k}"), 6, mtime=0))
+                    held += len(members[-1])
+                    if held >= SEGMENT_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array([archive], pa.int32()), pa.array([seq], pa.int32()), pa.array([b"".join(members)], pa.binary())], ["archive", "seq", "data"])
+                        seq, held = seq + 1, 0
+                        members.clear()
+                if members:
+                    yield pa.RecordBatch.from_arrays([pa.array([archive], pa.int32()), pa.array([seq], pa.int32()), pa.array([b"".join(members)], pa.binary())], ["archive", "seq", "data"])
+                    seq += 1
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arc{,.gz}").option("recursiveFileLookup", "true").load(source)
+    files.select("path", "content").mapInArrow(pack, SEGMENT).write.option("compression", "uncompressed").parquet(out)
+    return Archive(spark, out)
+
+
 def export(archive: Archive, folder: str) -> list[str]:
     """Write each archive as ``<folder>/<archive>.warc.gz``, segment by segment, on the driver's disk."""
     import os
