@@ -151,7 +151,11 @@ class Automaton:
     ends: list[frozenset[int]]  # rules that end in each state
 
     def scan(self, data: np.ndarray, lane: int = 1024, warm: int = 96) -> np.ndarray:
-        """Sorted positions in ``data`` after which some rule has matched.
+        """Sorted positions in ``data`` after which some rule has matched."""
+        return self.reports(data, lane, warm)[0]
+
+    def reports(self, data: np.ndarray, lane: int = 1024, warm: int = 96) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted positions in ``data`` after which some rule has matched, and their states' numbers in ``ends``.
 
         The buffer is cut into lanes that step together. A lane starts ``warm`` bytes early from
         the start state; where its state at its own first byte differs from the state in which the
@@ -160,7 +164,7 @@ class Automaton:
         """
         n = len(data)
         if n == 0:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lanes = -(-n // lane)
         cls = np.zeros(warm + lanes * lane, self.table.dtype)
         cls[warm:][:n] = self.classes[data]
@@ -182,7 +186,8 @@ class Automaton:
             for i in range(warm, warm + lane):
                 state = self.table.take(state + sub[i])
                 if state.max() >= self.first_end:
-                    hits.append(which[state >= self.first_end] * lane + (i - warm))
+                    at = state >= self.first_end
+                    hits.append(np.stack([which[at] * lane + (i - warm), state[at] // self.n_classes]))
             ended[which] = state
 
         run(np.arange(lanes), state)
@@ -193,10 +198,12 @@ class Automaton:
             # what these lanes reported stands on a wrong start: only their new run counts
             bad = np.zeros(lanes, bool)
             bad[wrong] = True
-            hits[:] = [kept for h in hits if len(kept := h[~bad[h // lane]])]
+            hits[:] = [kept for h in hits if (kept := h[:, ~bad[h[0] // lane]]).size]
             begun[wrong] = ended[wrong - 1]
             run(wrong, begun[wrong])
-        return np.sort(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+        found = np.concatenate(hits, axis=1) if hits else np.zeros((2, 0), np.int64)
+        found = found[:, np.argsort(found[0], kind="stable")]
+        return found[0], found[1]
 
 
 def compile_rules(rules: list[str]) -> Automaton:
