@@ -4,7 +4,7 @@ import base64
 import hashlib
 import re
 from collections import defaultdict
-from math import floor, isfinite
+from math import floor, isfinite, log2
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,6 +58,26 @@ def substrings(rows, length=100):
     return out
 
 
+def ppm_bits(texts, text, order):
+    """Bits of ``text`` after training on ``texts``: escape method C with exclusion, from raw counts."""
+    counts = defaultdict(lambda: defaultdict(int))
+    for t in texts:
+        for i in range(len(t)):
+            for k in range(min(order, i) + 1):
+                counts[t[i - k : i]][t[i]] += 1
+
+    def after(context):
+        below = after(context[1:]) if context else [1 / 256] * 256
+        seen = counts.get(context)
+        if not seen:
+            return below
+        n, kinds = sum(seen.values()), len(seen)
+        left = 1 - sum(below[x] for x in seen)
+        return [seen[x] / (n + kinds) if x in seen else kinds / (n + kinds) * below[x] / left for x in range(256)]
+
+    return -sum(log2(after(text[max(0, i - order) : i])[text[i]]) for i in range(len(text)))
+
+
 ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 
