@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tesselight.llm import decontaminate, langid, minhash, mixing, token_store
 from tesselight.llm.common import fresh, table, written
 
-#: A prediction below this share of certainty is a rejection.
-LEAST_SCORE = 0.5
+#: A prediction is a rejection if, against a code of no language, it is this unlikely.
+LEAST_SCORE = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
