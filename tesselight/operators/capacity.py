@@ -3,88 +3,162 @@
 All schemas are settled together: each round tries one state per open schema on the cell table
 (never on rows), counts merged cells, and halves the range of states left. Sums, and fingerprints
 by exclusive or, roll up from raw cells to merged ones.
+
+A partition depends on rows and features, not on the target, so one serves every value of a target,
+every permutation of it and every fold, by :meth:`Partition.apply`. Where folds are to choose their
+own (``per``), each is settled on its training cells in the same rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cube import MISSING, _labelled, schemas
-from .encoding import capacity, dictionary, merge_states
+from .cube import _labelled, labels, schemas
+from .encoding import capacity, dictionary, merge_state, merge_steps
 
 #: Levels of all features together that the merge maps may hold.
 MOST_LEVELS = 500_000
 
+#: What a partition is settled for: the values of ``per``, and a schema.
+Key = tuple
+
+
+@dataclass
+class Levels:
+    """Levels of each column with their counts, and merged labels made from them when asked for."""
+
+    #: (values of ``per``, column) -> [(code, label, count)]; a level with count 0 was not fitted on.
+    known: dict[tuple[Key, str], list[tuple[int, str, int]]]
+    ordered: dict[str, bool]
+    made: dict[tuple[Key, str, int], dict[str, str]] = field(default_factory=dict)
 
-def _maps(words: list[tuple[str, str, int, int]], ordered: dict[str, bool]):
-    """(column, levels) -> {value: merged label}, made when asked for and kept."""
-    by: dict[str, list[tuple[int, str, int]]] = {}
-    for col, value, code, cnt in words:
-        by.setdefault(col, []).append((code, value, cnt))
-    made: dict[tuple[str, int], dict[str, str]] = {}
+    def size(self, per: Key, col: str) -> int:
+        return max(1, sum(cnt > 0 for *_, cnt in self.known[per, col]))
 
-    def of(col: str, k: int) -> dict[str, str]:
-        if (col, k) not in made:
-            levels = sorted(by[col])
-            if ordered.get(col):
+    def merged(self, per: Key, col: str, k: int) -> dict[str, str]:
+        """label -> merged label, for k groups.
+
+        A level that was not fitted on is "other" (the last group) of a nominal column and goes with
+        the nearest lower level of an ordered one, or the first.
+        """
+        if (per, col, k) not in self.made:
+            levels = sorted(self.known[per, col])
+            if self.ordered.get(col):
                 total, before, raw = sum(c for *_, c in levels), 0, []
-                for _, v, c in levels:
-                    raw.append((v, before * k // total))
+                for _, label, c in levels:
+                    raw.append((label, before * k // total if c else raw[-1][1] if raw else 0))
                     before += c
                 dense = {g: i for i, g in enumerate(sorted({g for _, g in raw}))}
-                made[col, k] = {v: f"#{dense[g]}" for v, g in raw}
+                out = {label: f"#{dense[g]}" for label, g in raw}
             else:
-                top = sorted(levels, key=lambda x: (-x[2], x[0]))
-                made[col, k] = {v: f"#{min(i, k - 1)}" for i, (_, v, _) in enumerate(top)}
-        return made[col, k]
+                top = sorted((x for x in levels if x[2]), key=lambda x: (-x[2], x[0]))
+                out = {label: f"#{k - 1}" for _, label, _ in levels}
+                out |= {label: f"#{min(i, k - 1)}" for i, (_, label, _) in enumerate(top)}
+            self.made[per, col, k] = out
+        return self.made[per, col, k]
+
+
+@dataclass
+class Partition:
+    """Which schemas are merged, and how."""
+
+    levels: Levels
+    per: tuple[str, ...]
+    #: (values of ``per``, schema_id) -> features, and the steps of merging.
+    crowded: dict[tuple[Key, int], list[str]]
+    steps: dict[tuple[Key, int], int]
+
+    def _tables(self, at: dict[tuple[Key, int], int]) -> dict:
+        out = {}
+        for (per, schema), step in at.items():
+            features = self.crowded[per, schema]
+            sizes = [self.levels.size(per, c) for c in features]
+            out[per, schema] = [self.levels.merged(per, c, k) if k < n else None for c, n, k in zip(features, sizes, merge_state(sizes, step))]
+        return out
+
+    def relabelled(self, df: DataFrame, at: dict[tuple[Key, int], int] | None = None) -> DataFrame:
+        """``df`` (schema_id, cell, the columns of ``per``, any others) with merged cells; nothing is summed."""
+        tables, per = self._tables(self.steps if at is None else at), list(self.per)
 
-    return {c: len(x) for c, x in by.items()}, of
+        def relabel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                own = zip(*(b[c] for c in per)) if per else iter(lambda: (), None)
+                cells = []
+                for key, schema, cell in zip(own, b["schema_id"], b["cell"]):
+                    table = tables.get((tuple(key), schema))
+                    cells.append(list(cell) if table is None else [v if t is None else t[v] for t, v in zip(table, cell)])
+                b["cell"] = cells
+                yield b
 
+        return df.mapInPandas(relabel, df.schema)
 
-def coarsened(cells: DataFrame, frame: DataFrame, features: list[str], rows: int, ordered: dict[str, bool] | None = None) -> DataFrame:
-    """``cells`` with every schema within the capacity of ``rows``; merged levels are ``#group``.
+    def _summed(self, df: DataFrame, by: list[str], at=None) -> DataFrame:
+        keys = [*by, "schema_id", "d", "features", "cell"]
+        prints = [c for c in ("a", "b") if c in df.columns]
+        sums = [c for c in df.columns if c not in (*keys, *prints)]
+        out = self.relabelled(df, at).groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in sums], *[F.bit_xor(c).alias(c) for c in prints])
+        return out.select(*df.columns)
 
-    Columns beyond schema_id, d, features, cell and n are sums, but for ``a`` and ``b``, which are
-    fingerprints.
+    def apply(self, cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """Merged cells; ``by``: columns that tell cells of one schema apart, beside ``per``."""
+        ids = sorted({s for _, s in self.crowded})
+        if not ids:
+            return cells
+        hit = F.col("schema_id").isin(ids)
+        return cells.where(~hit).unionByName(self._summed(cells.where(hit), [*self.per, *by]))
+
+
+def words_of(frame: DataFrame, features: list[str]) -> DataFrame:
+    """(col, code, label, cnt): levels in their columns' order, as cells name them."""
+    words = dictionary(frame.select(*features))
+    return words.select("col", "code", labels(F.col("value")).alias("label"), "cnt")
+
+
+def settle(cells: DataFrame, words: DataFrame, rows: int | dict[Key, int], ordered: dict[str, bool] | None = None, per: tuple[str, ...] = ()) -> Partition:
+    """The partition of raw ``cells`` within the capacity of ``rows`` (for each ``per``, if any).
+
+    ``words``: (per, col, code, label, cnt).
     """
-    fit = capacity(rows)
-    crowded = {r["schema_id"]: r["features"] for r in cells.groupBy("schema_id", "features").agg(F.count("*").alias("c")).where(F.col("c") > fit).collect()}
+    fits = {k: capacity(n) for k, n in rows.items()} if isinstance(rows, dict) else {(): capacity(rows)}
+    many = cells.groupBy(*per, "schema_id", "features").agg(F.count("*").alias("c")).where(F.col("c") > min(fits.values(), default=0))
+    crowded = {(k, r["schema_id"]): list(r["features"]) for r in many.collect() if r["c"] > fits[k := tuple(r[c] for c in per)]}
+    part = Partition(Levels({}, ordered or {}), per, crowded, dict.fromkeys(crowded, 0))
     if not crowded:
-        return cells
-    words = dictionary(frame.select(*features))
-    if words.count() > MOST_LEVELS:
+        return part
+    wanted = words.where(F.col("col").isin(sorted({c for f in crowded.values() for c in f})))
+    if wanted.count() > MOST_LEVELS:
         raise ValueError(f"more than {MOST_LEVELS} levels: drop identifiers from the features")
-    sizes, maps = _maps([(r["col"], MISSING if r["value"] is None else r["value"], r["code"], r["cnt"]) for r in words.collect()], ordered or {})
-    states = {s: merge_states([sizes[c] for c in f]) for s, f in crowded.items()}
-    low, high = dict.fromkeys(crowded, 0), {s: len(x) - 1 for s, x in states.items()}
-    raw = cells.where(F.col("schema_id").isin(list(crowded)))
-    sums = [c for c in cells.columns if c not in ("schema_id", "d", "features", "cell", "a", "b")]
-    prints = [c for c in ("a", "b") if c in cells.columns]
+    for r in wanted.collect():
+        part.levels.known.setdefault((tuple(r[c] for c in per), r["col"]), []).append((r["code"], r["label"], r["cnt"]))
+    raw = cells.where(F.col("schema_id").isin(sorted({s for _, s in crowded}))).select(*per, "schema_id", "d", "features", "cell", "n")
+    low = dict.fromkeys(crowded, 0)
+    high = {(k, s): merge_steps([part.levels.size(k, c) for c in f]) for (k, s), f in crowded.items()}
+    while open_ := [x for x in crowded if low[x] < high[x]]:
+        at = {x: (low[x] + high[x]) // 2 for x in open_}
+        some = raw.where(F.col("schema_id").isin(sorted({s for _, s in open_})))
+        counted = part._summed(some, list(per), at).groupBy(*per, "schema_id").agg(F.count("*").alias("c"))
+        count = {(tuple(r[c] for c in per), r["schema_id"]): r["c"] for r in counted.collect()}
+        for x in open_:
+            if count[x] <= fits[x[0]]:
+                high[x] = at[x]
+            else:
+                low[x] = at[x] + 1
+    part.steps.update(low)
+    return part
 
-    def merged(at: dict[int, int]) -> DataFrame:
-        tables = {s: [maps(c, k) if k < sizes[c] else None for c, k in zip(crowded[s], states[s][i])] for s, i in at.items()}
 
-        def relabel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                b["cell"] = [[v if t is None else t[v] for t, v in zip(tables[s], cell)] for s, cell in zip(b["schema_id"], b["cell"])]
-                yield b
-
-        moved = raw.where(F.col("schema_id").isin(list(at))).mapInPandas(relabel, raw.schema)
-        return moved.groupBy("schema_id", "d", "features", "cell").agg(*[F.sum(c).cast("long").alias(c) for c in sums], *[F.bit_xor(c).alias(c) for c in prints])
+def coarsened(cells: DataFrame, frame: DataFrame, features: list[str], rows: int, ordered: dict[str, bool] | None = None) -> DataFrame:
+    """``cells`` with every schema within the capacity of ``rows``; merged levels are ``#group``.
 
-    while open_ := [s for s in crowded if low[s] < high[s]]:
-        at = {s: (low[s] + high[s]) // 2 for s in open_}
-        count = {r["schema_id"]: r["c"] for r in merged(at).groupBy("schema_id").agg(F.count("*").alias("c")).collect()}
-        for s in open_:
-            if count[s] <= fit:
-                high[s] = at[s]
-            else:
-                low[s] = at[s] + 1
-    return cells.where(~F.col("schema_id").isin(list(crowded))).unionByName(merged(low).select(*cells.columns))
+    Columns beyond schema_id, d, features, cell and n are sums, but for ``a`` and ``b``, which are
+    fingerprints.
+    """
+    return settle(cells, words_of(frame, features), rows, ordered).apply(cells)
 
 
 def family_size(frame: DataFrame, features: list[str], row_id: str, widest: int = 4, ordered: dict[str, bool] | None = None) -> int:

@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text of a missing category in a cell.
@@ -30,20 +30,47 @@ def schemas(features: list[str], widest: int) -> list[tuple[str, ...]]:
     return [c for d in range(1, min(widest, len(features)) + 1) for c in combinations(features, d)]
 
 
-def renamed_candidates(features: list[str], widest: int, exact: dict[str, set[str]]) -> list[tuple[str, ...]]:
-    """Schemas left when those that only repeat a narrower one go.
+def renamed(schema: tuple[str, ...], exact: dict[str, set[str]], occupied: dict[tuple[str, ...], int], fit: int) -> bool:
+    """Whether ``schema`` only repeats a narrower one.
 
-    A schema goes if it holds x and y, x determines y exactly, and the schema without y is searched.
+    It does if it holds x and y, x determines y exactly, and the schema without y is searched as it
+    stands: it has been counted and its cells are within the capacity. (Beyond it, the two are merged
+    in different ways.)
     """
-    kept: list[tuple[str, ...]] = []
-    for s in schemas(features, widest):
-        if not (len(s) > 1 and any(y in exact.get(x, ()) for x in s for y in s if x != y)):
-            kept.append(s)
-    return kept
+    return len(schema) > 1 and any(y in exact.get(x, ()) and occupied.get(tuple(c for c in schema if c != y), fit + 1) <= fit for x in schema for y in schema if x != y)
+
+
+def pruned_cells(frame: DataFrame, features: list[str], widest: int, exact: dict[str, set[str]], fit: int, form: str = "arrow") -> tuple[DataFrame, list[tuple[str, ...]]]:
+    """Raw cells without schemas that only repeat a narrower one, and the schemas counted.
+
+    Width by width: a schema's cells have to be known before wider ones can repeat it.
+    """
+    place = {s: i for i, s in enumerate(schemas(features, widest))}
+    occupied: dict[tuple[str, ...], int] = {}
+    out = None
+    for d in range(1, min(widest, len(features)) + 1):
+        only = [s for s in combinations(features, d) if not renamed(s, exact, occupied, fit)]
+        if not only:
+            continue
+        part = cells(frame, features, d, only=only, form=form).persist()
+        if exact and d < widest:
+            occupied |= {tuple(r["features"]): r["c"] for r in part.groupBy("features").agg(F.count("*").alias("c")).collect()}
+        else:
+            occupied |= dict.fromkeys(only, fit + 1)
+        # ids as without pruning
+        ids = frame.sparkSession.createDataFrame([(i, place[s]) for i, s in enumerate(only)], "schema_id int, _id int")
+        part = part.join(ids, "schema_id").withColumn("schema_id", F.col("_id")).drop("_id")
+        out = part if out is None else out.unionByName(part)
+    return out, [s for s in place if s in occupied]
+
+
+def labels(value: Column) -> Column:
+    """A level's name in a cell: its text, or MISSING. A text that reads like this name is quoted."""
+    return F.coalesce(F.when(value.rlike(f"^'*{MISSING}'*$"), F.concat(F.lit("'"), value, F.lit("'"))).otherwise(value), F.lit(MISSING))
 
 
 def _labelled(frame: DataFrame, features: list[str]) -> DataFrame:
-    return frame.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in features], *[c for c in frame.columns if c not in features])
+    return frame.select(*[labels(F.col(c).cast("string")).alias(c) for c in features], *[c for c in frame.columns if c not in features])
 
 
 def cells_by_sets(frame: DataFrame, features: list[str], widest: int, only: list[tuple[str, ...]] | None = None, by: list[str] | None = None) -> DataFrame:
@@ -72,14 +99,21 @@ def _named(df: DataFrame, wanted: list[tuple[str, ...]]) -> DataFrame:
     return df.withColumn("d", F.size("features"))
 
 
-def cells_by_arrays(frame: DataFrame, features: list[str], widest: int, only: list[tuple[str, ...]] | None = None) -> DataFrame:
-    """Cells by partial counts in Arrow batches and a final aggregate."""
+def cells_by_arrays(frame: DataFrame, features: list[str], widest: int, only: list[tuple[str, ...]] | None = None, by: str | None = None) -> DataFrame:
+    """Cells by partial counts in Arrow batches and a final aggregate.
+
+    ``by``: a further column, as text, that tells cells apart; it stays null where it is null.
+    """
     wanted = only or schemas(features, widest)
-    small = _labelled(frame, features).groupBy(*features).agg(F.count("*").alias("n"), F.sum("z").cast("long").alias("k"))
+    if by:
+        frame = frame.withColumn(by, F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")))
+    given, features = features, [*([by] if by else []), *features]
+    frame = frame if "z" in frame.columns else frame.withColumn("z", F.lit(0))
+    small = _labelled(frame.select("z", *features), given).groupBy(*features).agg(F.count("*").alias("n"), F.sum("z").cast("long").alias("k"))
     place = {c: i for i, c in enumerate(features)}
     parts = []
     for at in range(0, len(wanted), SCHEMAS_A_PASS):
-        todo = [(at + i, [place[c] for c in s]) for i, s in enumerate(wanted[at : at + SCHEMAS_A_PASS])]
+        todo = [(at + i, [*([0] if by else []), *(place[c] for c in s)]) for i, s in enumerate(wanted[at : at + SCHEMAS_A_PASS])]
 
         def count(batches: Iterator[pa.RecordBatch], todo: list[tuple[int, list[int]]] = todo) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -89,7 +123,8 @@ def cells_by_arrays(frame: DataFrame, features: list[str], widest: int, only: li
                 for i in range(len(features)):
                     e = b.column(i).dictionary_encode()
                     codes.append(np.asarray(e.indices, np.int64))
-                    words.append(e.dictionary.to_pylist())
+                    # 1E keeps the separator 1F apart from what a label holds
+                    words.append([v.replace("\x1e", "\x1e0").replace("\x1f", "\x1e1") for v in e.dictionary.to_pylist()])
                 n, k = np.asarray(b.column(len(features))), np.asarray(b.column(len(features) + 1))
                 for schema, cols in todo:
                     flat = np.zeros(b.num_rows, np.int64)
@@ -109,7 +144,12 @@ def cells_by_arrays(frame: DataFrame, features: list[str], widest: int, only: li
     for p in parts[1:]:
         out = out.unionAll(p)
     out = out.groupBy("schema_id", "code").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    return _named(out, wanted).select("schema_id", "d", "features", F.split(F.col("code").cast("string"), "\x1f").alias("cell"), "n", "k")
+    plain = lambda v: F.replace(F.replace(v, F.lit("\x1e1"), F.lit("\x1f")), F.lit("\x1e0"), F.lit("\x1e"))
+    out = _named(out, wanted).withColumn("cell", F.transform(F.split(F.col("code").cast("string"), "\x1f"), plain))
+    if not by:
+        return out.select("schema_id", "d", "features", "cell", "n", "k")
+    own = F.when(F.col("cell")[0] != "", F.substring(F.col("cell")[0], 2, 1 << 30))
+    return out.select(own.alias(by), "schema_id", "d", "features", F.slice("cell", F.lit(2), F.col("d")).alias("cell"), "n", "k")
 
 
 def cells(frame: DataFrame, features: list[str], widest: int = 4, only: list[tuple[str, ...]] | None = None, form: str = "arrow") -> DataFrame:
@@ -117,17 +157,13 @@ def cells(frame: DataFrame, features: list[str], widest: int = 4, only: list[tup
     return (cells_by_arrays if form == "arrow" else cells_by_sets)(frame, features, widest, only)
 
 
-def value_cells(frame: DataFrame, features: list[str], value: str, widest: int = 4) -> DataFrame:
-    """Cells times the values of a target column: (value, schema_id, d, features, cell, n, k).
+def value_cells(frame: DataFrame, features: list[str], value: str, widest: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(cells, cells times the values of a target column) from one enumeration.
 
-    One grouping serves all values: n is the cell's rows, k those with the value.
+    The first has n, a cell's rows; the second (value, schema_id, d, features, cell, k), k of these
+    rows having the value, for cells where there are any.
     """
-    frame = frame.drop("z")
-    counted = cells_by_sets(frame.withColumn("_v", F.col(value).cast("string")).drop(value), features, widest, by=["_v"])
-    counted = counted.where(F.col("_v").isNotNull()).withColumnRenamed("n", "k").withColumnRenamed("_v", "value")
-    sizes = cells_by_sets(frame.drop(value), features, widest)
-    # a cell without a value has k = 0 there and can be no centre, but counts among the occupied
-    values = [r[0] for r in frame.select(F.col(value).cast("string")).where(F.col(value).isNotNull()).distinct().collect()]
-    grid = sizes.withColumn("value", F.explode(F.array(*[F.lit(v) for v in sorted(values)])))
-    return grid.join(counted.select("value", "schema_id", "cell", "k"), ["value", "schema_id", "cell"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
-
+    own = frame.select(*features, F.col(value).cast("string").alias("_value"))
+    counted = cells_by_arrays(own, features, widest, by="_value").drop("k").persist()
+    sizes = counted.groupBy("schema_id", "d", "features", "cell").agg(F.sum("n").alias("n"))
+    return sizes, counted.where(F.col("_value").isNotNull()).select(F.col("_value").alias("value"), "schema_id", "d", "features", "cell", F.col("n").alias("k"))

@@ -106,6 +106,30 @@ def merge_states(levels: list[int]) -> list[list[int]]:
     return out
 
 
+def merge_state(levels: list[int], step: int) -> list[int]:
+    """The state after ``step`` steps of :func:`merge_states`, without those before it.
+
+    Down to some height the widest columns are level; of those at that height, the first ones have
+    lost one more.
+    """
+    low, high = 1, max(levels, default=1)
+    while low < high:  # the least height that all columns can be cut to
+        mid = (low + high) // 2
+        low, high = (low, mid) if sum(max(0, n - mid) for n in levels) <= step else (mid + 1, high)
+    left = step - sum(max(0, n - low) for n in levels)
+    out = [min(n, low) for n in levels]
+    for i, n in enumerate(levels):
+        if left and low > 1 and n >= low:
+            out[i] -= 1
+            left -= 1
+    return out
+
+
+def merge_steps(levels: list[int]) -> int:
+    """Steps until every column has one level."""
+    return sum(n - 1 for n in levels)
+
+
 def occupied(cells: DataFrame, columns: list[str]) -> int:
     """Distinct combinations; counts, unlike approximate ones, are exact."""
     return cells.select(*columns).distinct().count()
@@ -120,7 +144,7 @@ def coarsen_to_capacity(coded: DataFrame, columns: list[str], words: DataFrame,
     fit = capacity(rows)
     cells = coded.groupBy(*columns).agg(F.count("*").alias("_n")).cache()
     sizes = {r["col"]: r["n"] for r in words.groupBy("col").agg(F.count("*").alias("n")).collect()}
-    states = merge_states([sizes[c] for c in columns])
+    levels = [sizes[c] for c in columns]
 
     def merged(df: DataFrame, state: list[int]) -> DataFrame:
         for c, k in zip(columns, state):
@@ -130,9 +154,9 @@ def coarsen_to_capacity(coded: DataFrame, columns: list[str], words: DataFrame,
                 df = df.join(table, F.col(c) == F.col("_c")).withColumn(c, F.col("_m")).drop("_c", "_m")
         return df
 
-    low, high = 0, len(states) - 1
+    low, high = 0, merge_steps(levels)
     while low < high:
         mid = (low + high) // 2
-        low, high = (low, mid) if occupied(merged(cells, states[mid]), columns) <= fit else (mid + 1, high)
+        low, high = (low, mid) if occupied(merged(cells, merge_state(levels, mid)), columns) <= fit else (mid + 1, high)
     cells.unpersist()
-    return merged(coded, states[low]), states[low]
+    return merged(coded, merge_state(levels, low)), merge_state(levels, low)

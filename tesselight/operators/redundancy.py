@@ -1,7 +1,8 @@
 """Centres that describe the same rows: row sets, their similarity, groups and kinship.
 
-Membership (set, row) is the only large table; intersections come from joining it with itself on
-rows, within the band of sizes that can reach the similarity floor.
+Rows that agree in all features lie in the same centres, so membership (set, row, w) holds one row
+of each such combination, with the number of rows that it stands for; intersections come from
+joining it with itself within the band of sizes that can reach the similarity floor.
 """
 
 from __future__ import annotations
@@ -11,48 +12,72 @@ from pyspark.sql import functions as F
 
 from ..functions.binomial import exact_lower_udf
 from ..spec import Rule
+from .capacity import settle, words_of
 from .cube import cells as make_cells
 from .cube import _labelled, schemas
-from .search import TIE, centres
+from .search import TIE, centres, total
 
 #: Least similarity of a pair that is kept, similarity of a group, and distinct sets at most.
 FLOOR, GROUP_AT, MOST_SETS = 0.5, 0.8, 60_000
 HISTOGRAM_WIDTH = 0.05
 
 
-def collect(frame: DataFrame, features: list[str], rule: Rule, row_id: str, widest: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(centres, sets, members): each centre with its set_id, ranked distinct row sets, (set_id, row).
+def collect(frame: DataFrame, features: list[str], rule: Rule, row_id: str, widest: int = 3, ordered: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(centres, sets, members): each centre with its set_id, ranked distinct row sets, (set_id, row, w).
 
     A set's rank is its place by width, lower bound, size and first centre; set_id is that rank.
+    Cells are those of the search, merged where a schema has too many.
     """
-    found = centres(make_cells(frame, features, widest), rule).where("is_centre")
+    raw = make_cells(frame, features, widest).persist()
+    merged = settle(raw, words_of(frame, features), total(raw), ordered)
+    found = centres(merged.apply(raw), rule).where("is_centre")
     found = found.withColumn("lower", exact_lower_udf(F.col("k"), F.col("n"), F.col("level"))).drop("is_centre")
-    # rows of a centre: each schema's key of a row, matched with the cell's
-    keyed = _labelled(frame.select(row_id, "z", *features), features)
+    # rows of a centre: each schema's key of a combination of features, matched with the cell's
+    keyed = _labelled(frame.select(F.col(row_id).alias("row"), *features), features)
+    combos = keyed.groupBy(*features).agg(F.min("row").alias("row"), F.count("*").alias("w"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), "row")).alias("b"))
     keys = F.array(*[F.struct(F.lit(i).alias("schema_id"), F.array(*[F.col(c) for c in s]).alias("cell")) for i, s in enumerate(schemas(features, widest))])
-    rows = keyed.select(F.col(row_id).alias("row"), F.explode(keys).alias("x")).select("row", "x.*")
-    held = rows.join(found.select("schema_id", "cell"), ["schema_id", "cell"])
-    prints = held.groupBy("schema_id", "cell").agg(F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), "row")).alias("b"))
+    rows = combos.select("row", "w", "a", "b", F.explode(keys).alias("x")).select("x.*", "row", "w", "a", "b")
+    if merged.crowded:
+        rows = merged.relabelled(rows)
+    held = rows.join(found.select("schema_id", "cell"), ["schema_id", "cell"]).persist()
+    prints = held.groupBy("schema_id", "cell").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
     marked = found.join(prints, ["schema_id", "cell"])
     best = F.min(F.struct("d", (-F.col("lower")).alias("o"), (-F.col("n")).alias("m"), "schema_id", "cell"))
-    sets = marked.groupBy("n", "a", "b").agg(best.alias("best"), F.count("*").alias("centres"), F.max("k").alias("k"))
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("best")) - 1
-    sets = sets.withColumn("set_id", rank)
+    sets = marked.groupBy("n", "a", "b").agg(best.alias("best"), F.count("*").alias("centres"), F.max("k").alias("k")).persist()
     if sets.count() > MOST_SETS:
         raise ValueError(f"more than {MOST_SETS} distinct row sets: raise the floor or narrow the search")
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("best")) - 1  # of at most MOST_SETS rows
+    sets = sets.withColumn("set_id", rank)
     ids = sets.select("n", "a", "b", "set_id")
     named = marked.join(ids, ["n", "a", "b"]).drop("a", "b")
-    members = held.join(sets.select("set_id", F.col("best.schema_id").alias("schema_id"), F.col("best.cell").alias("cell")), ["schema_id", "cell"]).select("set_id", "row")
+    members = held.join(sets.select("set_id", F.col("best.schema_id").alias("schema_id"), F.col("best.cell").alias("cell")), ["schema_id", "cell"]).select("set_id", "row", "w")
     sets = sets.select("set_id", F.col("best.d").alias("d"), F.col("best.schema_id").alias("schema_id"), F.col("best.cell").alias("cell"), "n", "k", (-F.col("best.o")).alias("lower"), "centres")
     return named, sets, members
 
 
 def similar(sets: DataFrame, members: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """(a, b, shared, similarity): pairs of sets with shared / larger size of ``floor`` at least."""
+    """(a, b, shared, similarity): pairs of sets with shared / larger size of ``floor`` at least.
+
+    Combinations that lie in the same sets count together, once. Of a set's members, taken with the
+    least common first, two similar sets share one among those that leave less than ``floor`` of the
+    set's rows behind; only these prefixes are joined to find pairs, within bands of sizes.
+    """
     sized = members.join(sets.select("set_id", "n"), "set_id")
-    a, b = (sized.select("row", F.col("set_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    band = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= floor * F.greatest("n_a", "n_b") - TIE)
-    shared = a.join(b, "row").where(band).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    # equal membership: one row for all combinations with the same list of sets
+    of_row = sized.groupBy("row").agg(F.max("w").alias("w"), F.sort_array(F.collect_list("set_id")).alias("_in"))
+    same = of_row.groupBy("_in").agg(F.min("row").alias("row"), F.sum("w").alias("w"), F.size("_in").alias("held"))
+    every = same.select("row", "w", "held", F.explode("_in").alias("set_id")).join(sets.select("set_id", "n"), "set_id").persist()
+    behind = F.coalesce(F.sum("w").over(Window.partitionBy("set_id").orderBy("held", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prefix = every.withColumn("_behind", behind).where(F.col("n") - F.col("_behind") >= floor * F.col("n") - TIE * F.col("n"))
+    # sizes within a factor of each other lie in the same band or the next
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / floor)) + 1e-9) if floor < 1 else F.col("n")
+    posted = prefix.select("row", F.col("set_id"), F.col("n"), band.alias("_band"))
+    a = posted.select("row", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
+    b = posted.select("row", F.col("set_id").alias("b"), F.col("n").alias("n_b"), "_band")
+    able = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= floor * F.greatest("n_a", "n_b") - TIE)
+    pairs = a.join(b, ["row", "_band"]).where(able).select("a", "b", "n_a", "n_b").distinct()
+    left, right = every.select(F.col("set_id").alias("a"), "row", "w"), every.select(F.col("set_id").alias("b"), "row")
+    shared = pairs.join(left, "a").join(right, ["b", "row"]).groupBy("a", "b", "n_a", "n_b").agg(F.sum("w").alias("shared"))
     return shared.withColumn("similarity", F.col("shared") / F.greatest("n_a", "n_b")).where(F.col("similarity") >= floor - TIE)
 
 
@@ -83,7 +108,7 @@ def groups(sets: DataFrame, pairs: DataFrame, at: float = GROUP_AT) -> DataFrame
 def group_table(sets: DataFrame, grouped: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
     """Per group: sets, centres, widths of its schemas, features, and the union of its rows."""
     led = grouped.select("set_id", "leader")
-    union = members.join(led, "set_id").groupBy("leader").agg(F.count_distinct("row").alias("union_n"))
+    union = members.join(led, "set_id").select("leader", "row", "w").distinct().groupBy("leader").agg(F.sum("w").alias("union_n"))
     of = named.join(led, "set_id")
     facts = of.groupBy("leader").agg(F.count_distinct("set_id").alias("sets"), F.count("*").alias("centres"), F.count_distinct("schema_id").alias("schemas"), F.sort_array(F.collect_set("d")).alias("widths"))
     head = sets.select(F.col("set_id").alias("leader"), "d", "n", "k")

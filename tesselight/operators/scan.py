@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binomial import upper_tail_udf
 from ..spec import Rule
-from .cube import value_cells
-from .search import centres, scores, winners
+from .search import centres, scores, searched_value_cells, winners
 
 
 def discoveries(tested: DataFrame, q: float, p: str = "p") -> DataFrame:
@@ -23,7 +22,7 @@ def discoveries(tested: DataFrame, q: float, p: str = "p") -> DataFrame:
     return filled.join(run.select(p, "rank", "m"), p).join(F.broadcast(last)).withColumn("discovered", F.coalesce(F.col(p) <= F.col("_last"), F.lit(False))).drop("_last")
 
 
-def scan(df: DataFrame, columns: list[str], rule: Rule, widest: int = 2, threshold: float = 0.2, q: float = 0.05) -> DataFrame:
+def scan(df: DataFrame, columns: list[str], rule: Rule, widest: int = 2, threshold: float = 0.2, q: float = 0.05, ordered: dict[str, bool] | None = None) -> DataFrame:
     """(col, value, features, coverage, n_centers, purity, p, discovered) by coverage.
 
     One enumeration per column serves all its values; values whose base rate reaches the floor are
@@ -34,7 +33,7 @@ def scan(df: DataFrame, columns: list[str], rule: Rule, widest: int = 2, thresho
     out = None
     for c in columns:
         features = [x for x in columns if x != c]
-        scored = scores(value_cells(df.select(*columns), features, c, widest), rule, by=["value"])
+        scored = scores(searched_value_cells(df.select(*columns), features, c, widest, ordered), rule, by=["value"])
         scored = scored.where((F.col("positives") > 0) & (F.col("positives") / F.col("rows") < rule.tau))
         tried = scored.withColumn("tried", F.count("*").over(Window.partitionBy("value")))
         best = Window.partitionBy("value").orderBy(F.desc("coverage"), "n_centers", "d", "mass", "schema_id")

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.binomial import exact_lower_udf, upper_tail_udf
 from ..spec import LEAST_POSITIVES, Rule
+from .capacity import settle, words_of
+from .cube import cells_by_arrays
 from .cube import cells as make_cells
 from .ranking import ranked
-from .search import TIE, centres, scores, selected, winners, with_level
+from .search import TIE, centres, partition, scores, selected, winners, with_level
 
 
 def _digest(seed: int, rep: Column | int, row_id: str) -> Column:
@@ -47,28 +49,55 @@ def halves(df: DataFrame, row_id: str, seed: int = 0) -> DataFrame:
     return placed.withColumn("first", F.col("_half_place") <= math.ceil(n / 2)).drop("_half_place")
 
 
-def _fold_cells(folded: DataFrame, schema: list[str]) -> DataFrame:
-    """(rep, fold, cell, n, k, n_train, k_train)."""
-    test = folded.groupBy("rep", "fold", *schema).agg(F.count("*").alias("n"), F.sum("z").alias("k"))
-    cell = Window.partitionBy("rep", *schema)
-    test = test.withColumns({"n_all": F.sum("n").over(cell), "k_all": F.sum("k").over(cell)})
-    # a cell without rows in a fold still trains there
-    reps = folded.select("rep", "fold").distinct()
-    whole = test.select("rep", *schema, "n_all", "k_all").distinct().join(reps, "rep")
-    keys = ["rep", "fold", *schema]
-    out = whole.join(test.select(*keys, "n", "k"), keys, "left").fillna(0, ["n", "k"])
-    return out.withColumns({"n_train": F.col("n_all") - F.col("n"), "k_train": F.col("k_all") - F.col("k")})
+def fold_cells(folded: DataFrame, features: list[str], widest: int, only: list[tuple[str, ...]] | None = None, encoding: str = "all_rows", ordered: dict[str, bool] | None = None) -> DataFrame:
+    """(rep, _part, schema_id, d, features, cell, n, k, n_train, k_train), a row per fold and merged cell.
 
-
-def cross_validated(folded: DataFrame, schema: list[str], rule: Rule) -> DataFrame:
+    ``_part`` is "rep-fold"; n and k are the fold's own rows, which the others are to predict. A cell
+    without rows in a fold still trains there. ``encoding``: whether levels are merged as all rows
+    ask for ("all_rows"; the target plays no part in it) or as each fold's training rows do
+    ("train"; levels that they lack go with others where their column is merged).
+    """
+    if encoding not in ("all_rows", "train"):
+        raise ValueError(f"unknown encoding: {encoding}")
+    tagged = folded.select(*features, "z", F.concat_ws("-", "rep", "fold").alias("_part"))
+    test = cells_by_arrays(tagged, features, widest, only, by="_part").persist()
+    rep = F.split("_part", "-")[0]
+    keys = ["schema_id", "d", "features", "cell"]
+    every = test.groupBy(rep.alias("rep"), *keys).agg(F.sum("n").alias("n_all"), F.sum("k").alias("k_all"))
+    parts = folded.groupBy(F.col("rep").cast("string").alias("rep"), F.concat_ws("-", "rep", "fold").alias("_part")).agg(F.count("*").alias("_rows")).persist()
+    grid = every.join(parts.select("rep", "_part"), "rep").join(test.select("_part", "schema_id", "cell", "n", "k"), ["_part", "schema_id", "cell"], "left").fillna(0, ["n", "k"])
+    grid = grid.select("rep", "_part", *keys, "n", "k", (F.col("n_all") - F.col("n")).alias("n_train"), (F.col("k_all") - F.col("k")).alias("k_train"))
+    sizes = parts.collect()  # a row a fold
+    of_rep = {r["rep"]: 0 for r in sizes}
+    for r in sizes:
+        of_rep[r["rep"]] += r["_rows"]
+    if not sizes:
+        return grid
+    one = sizes[0]["rep"]  # each repeat holds every row once
+    words = words_of(folded.where(F.col("rep").cast("string") == one), features)
+    if encoding == "all_rows":
+        raw = every.where(F.col("rep") == one).select(*keys, F.col("n_all").alias("n"))
+        return settle(raw, words, of_rep[one], ordered).apply(grid, by=("rep", "_part"))
+    # levels as the training rows have them: all rows' counts less the fold's
+    own = cells_by_arrays(tagged, features, 1, by="_part").select("_part", F.col("features")[0].alias("col"), F.col("cell")[0].alias("label"), F.col("n").alias("_n"))
+    fitted = words.join(parts.select("_part")).join(own, ["_part", "col", "label"], "left").withColumn("cnt", F.col("cnt") - F.coalesce("_n", F.lit(0))).drop("_n")
+    train = grid.where("n_train > 0").select("_part", *keys, F.col("n_train").alias("n"))
+    rows = {(r["_part"],): of_rep[r["rep"]] - r["_rows"] for r in sizes}
+    return settle(train, fitted, rows, ordered, per=("_part",)).apply(grid, by=("rep",))
+
+
+def _trained(cells: DataFrame) -> DataFrame:
+    return cells.where("n_train > 0").select("_part", "schema_id", "d", "features", "cell", F.col("n_train").alias("n"), F.col("k_train").alias("k"))
+
+
+def cross_validated(folded: DataFrame, schema: list[str], rule: Rule, encoding: str = "all_rows", ordered: dict[str, bool] | None = None) -> DataFrame:
     """(rep, fold, coverage, purity, mass): centres chosen on the other folds, measured on this one."""
-    cells = _fold_cells(folded.select("rep", "fold", "z", *[F.col(c).cast("string").alias(c) for c in schema]), schema)
-    train = cells.where("n_train > 0").select("rep", "fold", *schema, F.col("n_train").alias("n"), F.col("k_train").alias("k"), F.concat_ws("-", "rep", "fold").alias("schema_id"))
-    chosen = centres(train, rule).where("is_centre").select("rep", "fold", *schema, F.lit(True).alias("chosen"))
-    at = cells.join(chosen, ["rep", "fold", *schema], "left")
+    cells = fold_cells(folded, schema, len(schema), [tuple(schema)], encoding, ordered).persist()
+    chosen = centres(_trained(cells), rule, by=["_part"]).where("is_centre").select("_part", "schema_id", "cell", F.lit(True).alias("chosen"))
     yes = F.coalesce("chosen", F.lit(False))
-    out = at.groupBy("rep", "fold").agg(F.sum(F.when(yes, F.col("k")).otherwise(0)).alias("k_sel"), F.sum(F.when(yes, F.col("n")).otherwise(0)).alias("n_sel"), F.sum("k").alias("positives"), F.sum("n").alias("rows"))
-    return out.select("rep", "fold", "k_sel", "n_sel", F.try_divide("k_sel", "positives").alias("coverage"), F.try_divide("k_sel", "n_sel").alias("purity"), F.try_divide("n_sel", "rows").alias("mass"), "positives")
+    out = cells.join(chosen, ["_part", "schema_id", "cell"], "left").groupBy("_part").agg(F.sum(F.when(yes, F.col("k")).otherwise(0)).alias("k_sel"), F.sum(F.when(yes, F.col("n")).otherwise(0)).alias("n_sel"), F.sum("k").alias("positives"), F.sum("n").alias("rows"))
+    part = F.split("_part", "-")
+    return out.select(part[0].cast("int").alias("rep"), part[1].cast("int").alias("fold"), "k_sel", "n_sel", F.try_divide("k_sel", "positives").alias("coverage"), F.try_divide("k_sel", "n_sel").alias("purity"), F.try_divide("n_sel", "rows").alias("mass"), "positives")
 
 
 def summary(cv: DataFrame, k: int = 5) -> DataFrame:
@@ -97,19 +126,36 @@ def sufficient_width(gains: dict[int, tuple[float, float | None]], start: int =
     return kept
 
 
-def nested(folded: DataFrame, features: list[str], rule: Rule, widest: int = 2) -> DataFrame:
+def select_width(folded: DataFrame, branches_: list[list[str]], rule: Rule, encoding: str = "all_rows", ordered: dict[str, bool] | None = None, k: int = 5) -> tuple[int | None, DataFrame]:
+    """(smallest sufficient width, gains): each branch on the same folds against the width kept so far.
+
+    ``branches_``: a schema per width. Undetermined (None) without coverage at the first width.
+    """
+    spark = folded.sparkSession
+    cv = {len(s): cross_validated(folded, s, rule, encoding, ordered).persist() for s in branches_}
+    means = {d: summary(x, k).first()["coverage"] for d, x in cv.items()}
+    kept, rows = None, []
+    for d in sorted(cv):
+        if means[d] is None:
+            continue
+        if kept is None:
+            kept = d
+            continue
+        gain = paired_gain(cv[d], cv[kept], k).first()
+        rows.append((d, kept, gain["gain"], gain["std_error"], gain["t"]))
+        kept = sufficient_width({kept: (means[kept], None), d: (means[d], gain["t"])}, kept)
+    for x in cv.values():
+        x.unpersist()
+    return kept, spark.createDataFrame(rows, "d int, against int, gain double, std_error double, t double")
+
+
+def nested(folded: DataFrame, features: list[str], rule: Rule, widest: int = 2, encoding: str = "train", ordered: dict[str, bool] | None = None) -> DataFrame:
     """Per (rep, fold, d): the schema that the other folds choose, and what it covers on this one.
 
     One cube keyed by (rep, fold) serves every fold's whole search.
     """
-    tagged = folded.withColumn("_part", F.concat_ws("-", "rep", "fold"))
-    from .cube import cells_by_sets
-
-    test = cells_by_sets(tagged.select(*features, "z", "_part"), features, widest, by=["_part"])
-    every = test.groupBy(F.split("_part", "-")[0].alias("rep"), "schema_id", "d", "features", "cell").agg(F.sum("n").alias("n_all"), F.sum("k").alias("k_all"))
-    parts = tagged.select("_part", F.col("rep").cast("string").alias("rep")).distinct()
-    grid = every.join(parts, "rep").join(test.select("_part", "schema_id", "cell", "n", "k"), ["_part", "schema_id", "cell"], "left").fillna(0, ["n", "k"])
-    train = grid.where("n_all > n").select("_part", "schema_id", "d", "features", "cell", (F.col("n_all") - F.col("n")).alias("n"), (F.col("k_all") - F.col("k")).alias("k"))
+    grid = fold_cells(folded, features, widest, None, encoding, ordered).persist()
+    train = _trained(grid)
     won = winners(scores(train, rule, by=["_part"]), by=["_part"])
     chosen = centres(train, rule, by=["_part"]).where("is_centre").select("_part", "schema_id", "cell", F.lit(True).alias("chosen"))
     held = grid.join(won.select("_part", "schema_id"), ["_part", "schema_id"]).join(chosen, ["_part", "schema_id", "cell"], "left")
@@ -144,13 +190,19 @@ def certify(cells: DataFrame, rule: Rule, tests: int) -> DataFrame:
     return out.withColumn("certified", certified).orderBy("p", F.desc("k"), "schema_id", "cell")
 
 
-def certify_split(halved: DataFrame, features: list[str], rule: Rule, widest: int = 2, per_branch: bool = False) -> DataFrame:
-    """Search the first half, test its winners' centres on the second."""
-    screen = Rule(tau=rule.tau, alpha=rule.alpha, min_rows=rule.min_rows)
-    found = make_cells(halved.where("first").drop("first"), features, widest)
-    won = winners(scores(found, screen)).select("schema_id")
-    marked = centres(found, screen).where("is_centre").join(won, "schema_id").select("schema_id", "cell")
-    held = make_cells(halved.where("not first").drop("first"), features, widest).join(marked, ["schema_id", "cell"])
+def certify_split(halved: DataFrame, features: list[str], rule: Rule, widest: int = 2, per_branch: bool = False, screen: str = "purity", ordered: dict[str, bool] | None = None) -> DataFrame:
+    """Search the first half, test its winners' centres (``screen`` "all": all their cells) on the second.
+
+    Levels are merged as all rows ask for, in both halves alike; the target plays no part in it.
+    """
+    if screen not in ("purity", "all"):
+        raise ValueError(f"unknown screen: {screen}")
+    merged = partition(halved, features, widest, ordered=ordered)
+    pure = Rule(tau=rule.tau, alpha=rule.alpha, min_rows=rule.min_rows)
+    found = merged.apply(make_cells(halved.where("first").drop("first"), features, widest)).persist()
+    won = winners(scores(found, pure)).select("schema_id")
+    marked = (found if screen == "all" else centres(found, pure).where("is_centre")).join(won, "schema_id").select("schema_id", "cell")
+    held = merged.apply(make_cells(halved.where("not first").drop("first"), features, widest)).join(marked, ["schema_id", "cell"])
     count = F.count("*").over(Window.partitionBy("d") if per_branch else Window.partitionBy(F.lit(1)))
     tested = held.withColumn("tests", count)
     p = upper_tail_udf(F.col("k"), F.col("n"), F.lit(float(rule.tau)))
@@ -186,27 +238,27 @@ def p_value(null: DataFrame, column: str, observed: float) -> float:
     return (1 + hits) / (1 + n)
 
 
-def familywise_null(frame: DataFrame, features: list[str], rule: Rule, row_id: str, widest: int = 2, replicates: int = 99, seed: int = 0) -> DataFrame:
+def familywise_null(frame: DataFrame, features: list[str], rule: Rule, row_id: str, widest: int = 2, replicates: int = 99, seed: int = 0, ordered: dict[str, bool] | None = None) -> DataFrame:
     """(replicate, coverage): the most that any schema covers under one shared permutation of ``z``.
 
     A replicate keeps as many positives: rows take the values of z in digest order. Replicates go
-    side by side as columns of one cube, in blocks.
+    side by side in one cube, in blocks; the search's partitions hold for all of them, since the
+    target plays no part in merging.
     """
-    from .cube import cells_by_sets
-
     n, positives = frame.agg(F.count("*"), F.sum("z")).first()
+    merged = partition(frame, features, widest, ordered=ordered)
     out = []
     for first in range(0, replicates, 32):
         reps = range(first, min(replicates, first + 32))
         every = frame.select(row_id, *features).withColumn("rep", F.explode(F.array(*[F.lit(r) for r in reps])))
         placed = ranked(every, ["rep"], _digest(seed, F.col("rep"), row_id), row_id, "_deal_place")
         dealt = placed.withColumn("z", (F.col("_deal_place") <= positives).cast("int")).drop(row_id, "_deal_place")
-        cells = cells_by_sets(dealt, features, widest, by=["rep"])
-        out.append(scores(cells, rule, by=["rep"], wilson=False).groupBy(F.col("rep").alias("replicate")).agg(F.max("coverage").alias("coverage")))
+        cells = merged.apply(cells_by_arrays(dealt, features, widest, by="rep"), by=("rep",))
+        out.append(scores(cells, rule, by=["rep"], wilson=False).groupBy(F.col("rep").cast("int").alias("replicate")).agg(F.max("coverage").alias("coverage")))
     null = out[0]
     for x in out[1:]:
         null = null.unionAll(x)
     return null
 
 
-__all__ = ["folds", "hashed_folds", "halves", "cross_validated", "summary", "paired_gain", "sufficient_width", "nested", "stability", "certify", "certify_split", "coverage_null", "familywise_null", "p_value", "selected", "with_level"]
+__all__ = ["folds", "hashed_folds", "halves", "fold_cells", "cross_validated", "select_width", "summary", "paired_gain", "sufficient_width", "nested", "stability", "certify", "certify_split", "coverage_null", "familywise_null", "p_value", "selected", "with_level"]

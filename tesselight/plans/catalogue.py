@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import binomial
 from ..operators import baselines, capacity, comparison, cube, display, encoding, landscape, redundancy, rules, scan, screen, search, validation
 from ..sources import frames
-from ..sources.frames import EVENT_FEATURES, EVENTS_SQL, LINE_FEATURES, LINES_SQL, ORDER_FEATURES, ORDERS_SQL
+from ..sources.frames import EVENT_FEATURES, EVENTS_SQL, LINE_FEATURES, LINES_SQL, ORDER_FEATURES, ORDERS_SQL, PART_FEATURES, PARTS_SQL
 from ..spec import Rule, Target, base_rate, certificate, framed, positive_value, resolve_target
 from . import twins
 
@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {}
 PURE = Rule(tau=0.5)
 ORDER_RULE = Rule(tau=0.36)
 EVENT_RULE = Rule(tau=0.22)
+PART_RULE, SIZES = Rule(tau=0.3), {"p_size": True}
 CERTIFIED = certificate("certified", tau=0.5, correction="bonferroni")
 
 
@@ -134,21 +135,55 @@ def occupied_lines(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(encoding.occupied(frames.table(spark, sf, "lineitem"), LINE_FEATURES[:3]),)], "occupied long")
 
 
-@query()
+def _merged(widest: int, tail: str, tau: float = 0.3, only: list[tuple[str, ...]] | None = None, frame: str = PARTS_SQL) -> str:
+    return twins.merged_search(frame, PART_FEATURES, widest, tau, tail, ("p_size",), only)
+
+
+TRIPLE = [("p_brand", "p_type", "p_size")]
+
+
+@query(_merged(3, "SELECT n FROM cells", only=TRIPLE))
 def coarsened_to_capacity_part(spark: SparkSession, sf: str) -> DataFrame:
-    """Brand x size x type merged until the cells fit; checked against brute force in tests."""
-    df = frames.parts(spark, sf).select("p_brand", "p_type", "p_size")
-    names = ["p_brand", "p_type", "p_size"]
+    """Brand x type x size merged until the cells fit: their sizes."""
+    df = frames.parts(spark, sf).select(*PART_FEATURES)
     words = encoding.dictionary(df)
-    merged, _ = encoding.coarsen_to_capacity(encoding.encode(df, names, words), names, words, {"p_size": True}, df.count())
-    return merged.groupBy(*names).agg(F.count("*").alias("n"))
+    merged, _ = encoding.coarsen_to_capacity(encoding.encode(df, PART_FEATURES, words), PART_FEATURES, words, SIZES, df.count())
+    return merged.groupBy(*PART_FEATURES).agg(F.count("*").alias("n")).select("n")
 
 
-@query()
+@query(_merged(3, twins.BEST))
 def branches_coarsened_part(spark: SparkSession, sf: str) -> DataFrame:
-    """Winners where brand x size has too many cells; checked against brute force in tests."""
-    frame = frames.parts(spark, sf).select("p_brand", "p_type", "p_size", (F.col("p_partkey") % 5 == 0).cast("int").alias("z"))
-    return _flat(search.branches(frame, ["p_brand", "p_type", "p_size"], Rule(tau=0.3), 3, ordered={"p_size": True})).select(*SCORED)
+    """Winners where most schemas have too many cells."""
+    return _flat(search.branches(frames.marked_parts(spark, sf), PART_FEATURES, PART_RULE, 3, ordered=SIZES)).select(*SCORED)
+
+
+@query(" UNION ALL ".join(f"SELECT 'v{v}' AS value, * FROM ({_merged(2, twins.BEST, 0.4, frame=PARTS_SQL.replace('(p_partkey % 5 = 0)', f'(p_partkey % 5 = {v})'))})" for v in range(5)))
+def branches_by_value_part(spark: SparkSession, sf: str) -> DataFrame:
+    """Winners for every bucket: the same partitions, merged alike for all values."""
+    frame = frames.marked_parts(spark, sf).select(*PART_FEATURES, "bucket")
+    return _flat(search.branches_by_value(frame, PART_FEATURES, "bucket", Rule(tau=0.4), 2, SIZES)).select("value", *SCORED)
+
+
+AXES = ["p_type", "p_size", "p_brand"]
+
+
+@query(_merged(3, "SELECT schema_id, d, features, k_sel, n_centers, n_sel, coverage, mass FROM s", only=[tuple(AXES[:i]) for i in (1, 2, 3)]))
+def prefix_series_part(spark: SparkSession, sf: str) -> DataFrame:
+    """Each prefix merged for itself."""
+    return _flat(search.prefix_series(frames.marked_parts(spark, sf), AXES, PART_RULE, SIZES)).select(*SCORED)
+
+
+@query(
+    _merged(
+        2,
+        """SELECT s.features, (SELECT count(*) FROM marked) AS n_cells, rows, positives, k_sel, n_sel, n_centers, (SELECT max(k::DOUBLE / n) FROM marked) AS max_purity,
+        positives::DOUBLE / rows AS prevalence, coverage, mass, k_sel::DOUBLE / nullif(n_sel, 0) AS purity_pooled FROM s""",
+        only=[("p_brand", "p_size")],
+    )
+)
+def report_schema_part(spark: SparkSession, sf: str) -> DataFrame:
+    out = _flat(search.report(frames.marked_parts(spark, sf), ["p_brand", "p_size"], PART_RULE, SIZES))
+    return out.select("features", "n_cells", "rows", "positives", "k_sel", "n_sel", "n_centers", "max_purity", "prevalence", "coverage", "mass", "purity_pooled")
 
 
 @query("""WITH p AS (SELECT p_size AS v, count(*) FILTER (p_partkey % 2 = 0) AS c FROM part GROUP BY ALL), f AS (SELECT v, row_number() OVER (ORDER BY c DESC, v) - 1 AS r FROM p WHERE c > 0)
@@ -238,9 +273,10 @@ def zones_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(search.zones(_line_cells(spark, sf), PURE)).select("features", "cell", "n", "k", "zone")
 
 
-@query()
+@query(twins.lines("SELECT features, cell, n, k FROM marked WHERE yes ORDER BY k DESC, k::DOUBLE / n DESC, schema_id, cell LIMIT 10"))
 def top_centres_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(search.top_centres(_line_cells(spark, sf), PURE)).select("features", "cell", "n", "k", "lower")
+    """The ten centres with most positives; among equal k, a higher share has the higher bound."""
+    return _flat(search.top_centres(_line_cells(spark, sf), PURE)).select("features", "cell", "n", "k")
 
 
 # landscape
@@ -338,11 +374,22 @@ def min_successes_grid(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1, 101).select(F.col("id").alias("n"), binomial.least_certified_udf("id", F.lit(0.8), F.lit(0.05)).alias("least"))
 
 
-@query()
-def exact_bounds_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact bounds by (k, n); tests hold them against their definition."""
+def _bounds(spark: SparkSession) -> DataFrame:
     grid = spark.range(1, 31).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id"))).alias("k"))
-    return grid.select("n", "k", F.round(binomial.exact_lower_udf("k", "n", F.lit(0.05)), 9).alias("lower"), F.round(binomial.exact_upper_udf("k", "n", F.lit(0.05)), 9).alias("upper"))
+    return grid.select("n", "k", binomial.exact_lower_udf("k", "n", F.lit(0.05)).alias("lower"), binomial.exact_upper_udf("k", "n", F.lit(0.05)).alias("upper"))
+
+
+#: Halving of (0, 1): the bound of (k, n) is where the tail is 0.05.
+HALVED = """SELECT n, k, 0 AS i, 0::DOUBLE AS lo, 1::DOUBLE AS hi, 0::DOUBLE AS lo2, 1::DOUBLE AS hi2 FROM range(1, 31) a(n), range(0, 31) b(k) WHERE k <= n
+UNION ALL SELECT n, k, i + 1, CASE WHEN up <= 0.05 THEN mid ELSE lo END, CASE WHEN up <= 0.05 THEN hi ELSE mid END, CASE WHEN dn > 0.05 THEN mid2 ELSE lo2 END, CASE WHEN dn > 0.05 THEN hi2 ELSE mid2 END
+FROM (SELECT *, {up} AS up, {dn} AS dn FROM (SELECT *, (lo + hi) / 2 AS mid, (lo2 + hi2) / 2 AS mid2 FROM h WHERE i < 44))"""
+HALVED = HALVED.replace("{up}", TAIL.format(k="k", n="n", p="mid")).replace("{dn}", TAIL.format(k="0", n="k", p="0.5").replace("range(0, k + 1)", "range(0, k + 1)").replace("lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + i * ln(0.5) + (k - i) * ln(1 - 0.5)", "lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(mid2) + (n - i) * ln(1 - mid2)"))
+
+
+@query(f"WITH RECURSIVE h AS ({HALVED}) SELECT n, k, CASE WHEN k = 0 THEN 0 ELSE round(lo, 8) END AS lower, CASE WHEN k = n THEN 1 ELSE round(hi2, 8) END AS upper FROM h WHERE i = 44")
+def exact_bounds_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact bounds by (k, n): the share at which the tail beyond k is 0.05."""
+    return _bounds(spark).select("n", "k", F.round("lower", 8).alias("lower"), F.round("upper", 8).alias("upper"))
 
 
 @query(f"""WITH {twins.cells(LINES_SQL, LINE_FEATURES, 2)}, c AS (SELECT features, cell, n, k, k::DOUBLE / n AS p, 1.6448536269514722::DOUBLE AS z FROM cells)
@@ -431,8 +478,8 @@ def pruned_cube_orders(spark: SparkSession, sf: str) -> DataFrame:
     """The cube without schemas that only rename a narrower one: a nation tells its region."""
     names = ["n_name", "r_name", "c_mktsegment"]
     frame = frames.orders(spark, sf).select("id", "z", *names)
-    only = cube.renamed_candidates(names, 3, screen.exact_dependencies(frame, names))
-    return _flat(cube.cells(frame, names, 3, only=only)).select("d", "features", "cell", "n", "k")
+    cells, _ = cube.pruned_cells(frame, names, 3, screen.exact_dependencies(frame, names), encoding.capacity(frame.count()))
+    return _flat(cells).select("d", "features", "cell", "n", "k")
 
 
 # validation
@@ -480,21 +527,51 @@ def halves_events(spark: SparkSession, sf: str) -> DataFrame:
     return validation.halves(frames.events(spark, sf), "id").select("first", "id")
 
 
-@query()
+CV_PART = f"WITH RECURSIVE {twins.keyed(PARTS_SQL, PART_FEATURES, 2, ('p_size',), [('p_brand', 'p_size')])}, {twins.folds(1)}, {twins.FOLD_CELLS}, {twins.fold_marked(0.3)}"
+
+
+@query(f"{CV_PART} SELECT rep::INT AS rep, fold::INT AS fold, coalesce(sum(k) FILTER (yes), 0)::BIGINT AS k_sel, coalesce(sum(n) FILTER (yes), 0)::BIGINT AS n_sel, coalesce(sum(k) FILTER (yes), 0)::DOUBLE / sum(k)::BIGINT AS coverage FROM m GROUP BY rep, fold")
+def cv_coverage_part(spark: SparkSession, sf: str) -> DataFrame:
+    """Folds over a schema that is merged as all rows ask for."""
+    folded = validation.folds(frames.marked_parts(spark, sf), "id", 5, 1)
+    return validation.cross_validated(folded, ["p_brand", "p_size"], PART_RULE, ordered=SIZES).select("rep", "fold", "k_sel", "n_sel", "coverage")
+
+
+@query(f"WITH RECURSIVE {twins.keyed(PARTS_SQL, PART_FEATURES, 2, ('p_size',))}, {twins.folds(1)}, {twins.nested(0.3)} SELECT * FROM held")
+def nested_cv_part(spark: SparkSession, sf: str) -> DataFrame:
+    """A search a fold, over partitions that all rows ask for."""
+    folded = validation.folds(frames.marked_parts(spark, sf), "id", 5, 1)
+    return _flat(validation.nested(folded, PART_FEATURES, PART_RULE, 2, "all_rows", SIZES))
+
+
+NESTED = f"WITH RECURSIVE {twins.keyed(ORDERS_SQL, ORDER_FEATURES, 3)}, {twins.folds(2)}, {twins.nested(0.36)}"
+
+
+@query(f"{NESTED} SELECT * FROM held")
 def nested_cv_orders(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(validation.nested(_folded(spark, sf), ORDER_FEATURES, ORDER_RULE, 3))
 
 
-@query()
+@query(f"""{NESTED}, c AS (SELECT d, features, count(*) AS c FROM held GROUP BY ALL),
+j AS (SELECT a.d, avg(len(list_intersect(string_split(a.features, '+'), string_split(b.features, '+')))::DOUBLE / len(list_distinct(string_split(a.features, '+') || string_split(b.features, '+')))) AS mean_jaccard
+  FROM held a JOIN held b ON a.d = b.d AND (a.rep, a.fold) < (b.rep, b.fold) GROUP BY a.d)
+SELECT d, n_schemas, round(mean_jaccard, 9) AS mean_jaccard, mode, c::DOUBLE / passes AS mode_share FROM (SELECT d, count(*) AS n_schemas, sum(c)::BIGINT AS passes, max(c) AS c, arg_min(features, (-c, features)) AS mode FROM c GROUP BY d) JOIN j USING (d)""")
 def stability_orders(spark: SparkSession, sf: str) -> DataFrame:
     out = validation.stability(validation.nested(_folded(spark, sf), ORDER_FEATURES, ORDER_RULE, 3))
-    return out.withColumn("mode", F.concat_ws("+", "mode"))
+    return out.select("d", "n_schemas", F.round("mean_jaccard", 9).alias("mean_jaccard"), F.concat_ws("+", "mode").alias("mode"), "mode_share")
 
 
-@query()
+HALVES = f"hv AS (SELECT *, row_number() OVER (ORDER BY md5('0:0:' || id), id) <= (count(*) OVER () + 1) // 2 AS first FROM ({LINES_SQL}))"
+
+
+@query(f"""WITH {HALVES}, {twins.cells('SELECT * FROM hv WHERE first', LINE_FEATURES, 2)}, {twins.marked(0.5)}, {twins.SCORES}, won AS ({twins.BEST}),
+two AS (SELECT * FROM (WITH {twins.cells('SELECT * FROM hv WHERE NOT first', LINE_FEATURES, 2)} SELECT * FROM cells)),
+held AS (SELECT two.*, CASE WHEN two.k = 0 THEN 1 ELSE {TAIL.format(k='two.k', n='two.n', p='0.5')} END AS p, count(*) OVER () AS tests FROM two JOIN marked USING (schema_id, cell) JOIN won ON won.schema_id = two.schema_id WHERE yes)
+SELECT features, cell, n, k, round(least(1, p * tests), 8) AS p_adjusted, p <= 0.05 / tests AS certified FROM held""")
 def certify_split_lines(spark: SparkSession, sf: str) -> DataFrame:
     halved = validation.halves(_lines(spark, sf), "id").drop("id")
-    return _flat(validation.certify_split(halved, LINE_FEATURES, PURE, 2)).select("features", "cell", "n", "k", "p_adjusted", "certified")
+    out = _flat(validation.certify_split(halved, LINE_FEATURES, PURE, 2))
+    return out.select("features", "cell", "n", "k", F.round("p_adjusted", 8).alias("p_adjusted"), "certified")
 
 
 @query(f"""WITH {twins.cells(LINES_SQL, ['l_returnflag', 'l_linenumber'], 2)}, t AS (SELECT *, CASE WHEN k = 0 THEN 1 ELSE {TAIL.format(k='k', n='n', p='0.5')} END AS p FROM cells)
@@ -510,15 +587,39 @@ def coverage_null_lines(spark: SparkSession, sf: str) -> DataFrame:
     return validation.coverage_null([r["n"] for r in cells], sum(r["k"] for r in cells), Rule(tau=0.2), spark, 199)
 
 
-@query()
+@query(f"""WITH dealt AS (SELECT rep, quarter, user_group, size, (row_number() OVER (PARTITION BY rep ORDER BY md5('0:' || rep || ':' || id), id) <= (SELECT sum(z) FROM ({EVENTS_SQL})))::INT AS z FROM ({EVENTS_SQL}), range(0, 19) r(rep)),
+{twins.cells('SELECT * FROM dealt', EVENT_FEATURES, 2, by='rep, ')}, t AS (SELECT rep, schema_id, coalesce(sum(k) FILTER (k >= greatest(1, ceil(0.22 * n - 1e-9))), 0)::DOUBLE / sum(k)::BIGINT AS coverage FROM cells GROUP BY rep, schema_id)
+SELECT rep::INT AS replicate, max(coverage) AS coverage FROM t GROUP BY rep""")
 def familywise_null_events(spark: SparkSession, sf: str) -> DataFrame:
     return validation.familywise_null(frames.events(spark, sf), EVENT_FEATURES, EVENT_RULE, "id", 2, 19)
 
 
-@query()
-def pattern_scan_events(spark: SparkSession, sf: str) -> DataFrame:
-    df = frames.events(spark, sf).select("event_type", "quarter", "user_group", "size")
-    return _flat(scan.scan(df, df.columns, Rule(tau=0.3), 2, threshold=0.01, q=1.0))
+SCAN = ["planted", "l_returnflag", "l_linenumber"]
+
+
+def _scan_sql() -> str:
+    """Every (column, value) below the floor: its winner, the p-value of the winner's centres, and the step-up."""
+    parts = []
+    for c in SCAN:
+        rest = [x for x in SCAN if x != c]
+        wanted = [(x,) for x in rest] + [tuple(rest)]
+        cells = " UNION ALL ".join(f"SELECT {i} AS schema_id, {len(s)} AS d, '{'+'.join(s)}' AS features, concat_ws('|', {', '.join(s)}) AS cell, {c} AS value, count(*) AS k FROM f GROUP BY ALL" for i, s in enumerate(wanted))
+        sizes = " UNION ALL ".join(f"SELECT {i} AS schema_id, concat_ws('|', {', '.join(s)}) AS cell, count(*) AS n FROM f GROUP BY ALL" for i, s in enumerate(wanted))
+        parts.append(f"""SELECT '{c}' AS col, value, schema_id, d, features, coalesce(sum(k) FILTER (yes), 0)::BIGINT AS k_sel, coalesce(sum(n) FILTER (yes), 0)::BIGINT AS n_sel, count(*) FILTER (yes) AS n_centers, sum(k)::BIGINT AS positives,
+  3 AS tried FROM (SELECT *, k >= greatest(1, ceil(0.6 * n - 1e-9)) AS yes FROM ({cells}) JOIN ({sizes}) USING (schema_id, cell)) GROUP BY ALL""")
+    return f"""WITH f AS (SELECT z::VARCHAR AS planted, * FROM ({LINES_SQL})), rows AS (SELECT count(*) AS rows FROM f), a AS ({' UNION ALL '.join(parts)}),
+r AS (SELECT *, positives::DOUBLE / rows AS share, k_sel::DOUBLE / positives AS coverage, n_sel::DOUBLE / rows AS mass FROM a, rows WHERE positives::DOUBLE / rows < 0.6),
+won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY col, value ORDER BY coverage DESC, n_centers, d, mass, schema_id) AS q FROM r) WHERE q = 1),
+p AS (SELECT *, CASE WHEN n_centers = 0 THEN 1 ELSE least(1, tried * {TAIL.format(k='k_sel', n='n_sel', p='share')}) END AS p FROM won),
+o AS (SELECT *, count(*) OVER () AS m, count(*) OVER (ORDER BY p) AS rank FROM p)
+SELECT col, value, d, features, coverage, n_centers, k_sel::DOUBLE / n_sel AS purity, mass FROM o WHERE p <= (SELECT max(p) FROM o WHERE p <= rank * 0.05 / m) AND coverage >= 0.2"""
+
+
+@query(_scan_sql())
+def pattern_scan_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value of three columns as a target; the planted one is found."""
+    df = _lines(spark, sf).select(F.col("z").cast("string").alias("planted"), *SCAN[1:])
+    return _flat(scan.scan(df, SCAN, Rule(tau=0.6), 2)).select("col", "value", "d", "features", "coverage", "n_centers", "purity", "mass")
 
 
 # rules and display
@@ -632,10 +733,16 @@ def nn_histogram_events(spark: SparkSession, sf: str) -> DataFrame:
     return redundancy.histogram(redundancy.nearest(sets, redundancy.similar(sets, members)))
 
 
-@query()
+KIN = f"""{SETS}, x AS (SELECT *, string_split(features, '+') AS fs, len(ids) AS m FROM c),
+y AS (SELECT a.fs AS fa, b.fs AS fb, a.ids AS ia, b.ids AS ib, a.m AS ma, b.m AS mb, a.cell AS ca, b.cell AS cb, a.d AS da, b.d AS db, len(list_intersect(a.ids, b.ids)) AS shared FROM x a, x b WHERE a.ids <> b.ids)"""
+
+
+@query(f"""{KIN}, z AS (SELECT *, CASE WHEN len(list_intersect(fa, fb)) = len(fa) AND len(fa) = len(fb) THEN 'same' WHEN len(list_intersect(fa, fb)) = len(fb) THEN 'child' WHEN len(list_intersect(fa, fb)) = len(fa) THEN 'parent' ELSE 'unrelated' END AS lineage,
+CASE WHEN shared = ma THEN 'inside' WHEN shared = mb THEN 'contains' ELSE 'crossing' END AS relation FROM y WHERE shared::DOUBLE / greatest(ma, mb) >= 0.5 - 1e-12)
+SELECT lineage, relation, NOT ((lineage = 'child' AND relation = 'contains') OR (lineage = 'parent' AND relation = 'inside')) AS consistent, count(*) AS pairs FROM z GROUP BY ALL""")
 def kinship_events(spark: SparkSession, sf: str) -> DataFrame:
     named, sets, members = _sets(spark, sf)
-    out = redundancy.kinship(named, redundancy.similar(sets, members))
+    out = redundancy.kinship(named, redundancy.both_ways(redundancy.similar(sets, members)))
     return out.groupBy("lineage", "relation", "consistent").agg(F.count("*").alias("pairs"))
 
 
@@ -652,6 +759,13 @@ def describe_center_lines(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("feature", F.concat_ws(",", "values").alias("values"))
 
 
+@query(_merged(2, "SELECT features, n, k FROM marked WHERE yes", 0.4))
+def center_sets_part(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue of centres over merged partitions."""
+    named, _, _ = redundancy.collect(frames.marked_parts(spark, sf), PART_FEATURES, Rule(tau=0.4), "id", 2, SIZES)
+    return _flat(named).select("features", "n", "k")
+
+
 # baselines
 
 
@@ -674,7 +788,11 @@ def tree_leaves_lines(spark: SparkSession, sf: str) -> DataFrame:
     return baselines.tree_leaves(_lines(spark, sf), LINE_FEATURES)
 
 
-@query()
+CHAIN = "SELECT features, string_split(features, '+') AS fs FROM s WHERE d = {d}{also} ORDER BY coverage DESC, n_centers, mass, schema_id LIMIT 1"
+
+
+@query(twins.lines(f""", c1 AS ({CHAIN.format(d=1, also='')}), c2 AS ({CHAIN.format(d=2, also=" AND list_has_all(string_split(features, '+'), (SELECT fs FROM c1))")}), c3 AS ({CHAIN.format(d=3, also=" AND list_has_all(string_split(features, '+'), (SELECT fs FROM c2))")})
+SELECT len(fs)::INT AS d, features FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3)""").replace("FROM scores) ,", "FROM scores),"))
 def greedy_chain_lines(spark: SparkSession, sf: str) -> DataFrame:
     chain = baselines.greedy_chain(_line_scores(spark, sf).cache(), 3)
     return spark.createDataFrame([(len(c), "+".join(c)) for c in chain], "d int, features string")

@@ -98,6 +98,7 @@ class Service:
         self.scan_job, self.validation = Job(df.sparkSession), Job(df.sparkSession)
         self._tables: OrderedDict[tuple, DataFrame] = OrderedDict()
         self._answers: OrderedDict[str, Any] = OrderedDict()
+        self._pending: dict[str, threading.Event] = {}
         self._lock = threading.RLock()
 
     # parsing
@@ -114,6 +115,12 @@ class Service:
         except ValueError as e:
             raise BadRequest(str(e)) from e
 
+    def _width(self, q: dict, default: int) -> int:
+        widest = int(q.get("max_d", default))
+        if not 1 <= widest <= MAX_WIDTH:
+            raise BadRequest(f"max_d must lie between 1 and {MAX_WIDTH}")
+        return widest
+
     def _frame(self, q: dict) -> tuple[DataFrame, list[str], Target]:
         target = self._target(q)
         drop = q.get("drop", [])
@@ -128,18 +135,16 @@ class Service:
     def _cells(self, q: dict) -> tuple[DataFrame, DataFrame, list[str], Rule, float]:
         """The request's cell table, kept for later requests on the same target."""
         frame, features, _ = self._frame(q)
-        rule, widest = self._rule(q), min(MAX_WIDTH, int(q.get("max_d", 3)))
+        rule, widest = self._rule(q), self._width(q, 3)
         _, _, share = base_rate(frame)
         if rule.correction == "family":
             keyed = frame.withColumn(ROW, F.monotonically_increasing_id())
             rule = rule.with_family(capacity.family_size(keyed, features, ROW, widest))
-        only = None
-        if q.get("prune"):
-            only = cube.renamed_candidates(features, widest, screen.exact_dependencies(frame.drop("z"), features))
+        exact = screen.exact_dependencies(frame.drop("z"), features) if q.get("prune") else None
         key = (json.dumps({k: q.get(k) for k in ("column", "value", "also", "drop", "direction", "prune")}, sort_keys=True), widest)
         with self._lock:
             if key not in self._tables:
-                self._tables[key] = search.searched_cells(frame, features, widest, only=only, ordered=ordered_columns(frame)).persist()
+                self._tables[key] = search.searched_cells(frame, features, widest, ordered=ordered_columns(frame), exact=exact).persist()
             self._tables.move_to_end(key)
             while len(self._tables) > CACHED_TABLES:
                 self._tables.popitem(last=False)[1].unpersist()
@@ -174,9 +179,9 @@ class Service:
             chosen = [r["features"] for r in search.winners(search.scores(cells, rule)).orderBy("d").collect()]
         out = []
         for schema in chosen:
-            one = plain(search.report(frame, schema, rule).first())
+            one = plain(search.report(frame, schema, rule, ordered_columns(frame)).first())
             view = display.slices(frame, schema, rule) if len(schema) == 4 else display.grid(frame, schema, rule)
-            out.append({**one, "prefixes": listed(search.prefix_series(frame, schema, rule).orderBy("d").select("d", "features", "coverage", "n_centers")), "cells": listed(view.orderBy(F.desc("k"), "cell"))})
+            out.append({**one, "prefixes": listed(search.prefix_series(frame, schema, rule, ordered_columns(frame)).orderBy("d").select("d", "features", "coverage", "n_centers")), "cells": listed(view.orderBy(F.desc("k"), "cell"))})
         return {**head, "void": None, "branches": out}
 
     def landscape(self, q: dict) -> dict:
@@ -194,7 +199,7 @@ class Service:
 
     def curves(self, q: dict) -> dict:
         cells, _, _, rule, share = self._cells(q)
-        curve = landscape.curves(cells, rule, share, int(q.get("step", 5)), q.get("direction", "presence"), q.get("exclude", [])[:200]).persist()
+        curve = landscape.curves(cells, rule, share, int(q.get("step", 5)), q.get("direction", "presence"), q.get("exclude", [])).persist()
         out = {"base_rate": share, "curves": listed(curve.orderBy("d", "tau")), "leaders": listed(landscape.leaders(curve).orderBy("tau_from")), "changes": listed(landscape.winner_changes(curve).orderBy("d", "tau"))}
         curve.unpersist()
         return out
@@ -225,7 +230,7 @@ class Service:
         frame, features, _ = self._frame(q)
         rule = self._rule({**q, "correction": q.get("correction", "bonferroni")})
         keyed = frame.withColumn(ROW, F.monotonically_increasing_id()).persist()
-        named, sets, members = (x.persist() for x in redundancy.collect(keyed, features, rule, ROW, min(3, int(q.get("max_d", 2)))))
+        named, sets, members = (x.persist() for x in redundancy.collect(keyed, features, rule, ROW, self._width(q, 2), ordered_columns(frame)))
         pairs = redundancy.similar(sets, members).persist()
         grouped = redundancy.groups(sets, pairs, float(q.get("at", redundancy.GROUP_AT)))
         if "leader" in q:
@@ -241,14 +246,14 @@ class Service:
 
     def validate(self, q: dict) -> dict:
         frame, features, _ = self._frame(q)
-        rule, widest = self._rule({**q, "correction": "bonferroni"}), min(3, int(q.get("max_d", 2)))
+        rule, widest = self._rule({**q, "correction": "bonferroni"}), self._width(q, 2)
 
         def work(progress: Callable[[int, int], None]) -> dict:
             keyed = frame.withColumn(ROW, F.xxhash64(*features, F.monotonically_increasing_id())).persist()
             progress(0, 2)
-            split = listed(validation.certify_split(validation.halves(keyed, ROW).drop(ROW), features, rule, widest))
+            split = listed(validation.certify_split(validation.halves(keyed, ROW).drop(ROW), features, rule, widest, ordered=ordered_columns(frame)))
             progress(1, 2)
-            inner = validation.nested(validation.folds(keyed, ROW, 5, int(q.get("repeats", 1))), features, rule, widest).persist()
+            inner = validation.nested(validation.folds(keyed, ROW, 5, int(q.get("repeats", 1))), features, rule, widest, q.get("encoding", "train"), ordered_columns(frame)).persist()
             out = {"split": split, "nested": listed(inner.groupBy("d").agg(F.avg("coverage").alias("coverage"), F.count("*").alias("passes")).orderBy("d")), "stability": listed(validation.stability(inner).orderBy("d"))}
             progress(2, 2)
             keyed.unpersist()
@@ -261,8 +266,8 @@ class Service:
         if missing := [c for c in drop if c not in self.df.columns]:
             raise BadRequest(f"no such column: {missing}")  # before the job counts as running
         rule = self._rule(q)
-        columns = [c for c in self.df.columns if c not in drop]
-        return self.scan_job.start(lambda progress: listed(scan.scan(self.df, columns, rule, min(3, int(q.get("max_d", 2))), float(q.get("threshold", 0.2)), float(q.get("q", 0.05)))))
+        columns, widest = [c for c in self.df.columns if c not in drop], self._width(q, 2)
+        return self.scan_job.start(lambda progress: listed(scan.scan(self.df, columns, rule, widest, float(q.get("threshold", 0.2)), float(q.get("q", 0.05)), ordered_columns(self.df.select(*columns)))))
 
     ROUTES = {
         "/api/columns": "columns", "/api/target": "target", "/api/analyze": "analyze", "/api/landscape": "landscape", "/api/landscape/cell": "landscape_cell",
@@ -283,13 +288,27 @@ class Service:
         if name is None:
             return 404, {"error": f"no such path: {path}"}
         key = f"{name} {json.dumps(q, sort_keys=True)}"
-        with self._lock:
-            if key in self._answers:
-                self._answers.move_to_end(key)
-                return 200, self._answers[key]
+        while True:
+            with self._lock:
+                if key in self._answers:
+                    self._answers.move_to_end(key)
+                    return 200, self._answers[key]
+                other = self._pending.get(key)
+                if other is None or name not in self.KEPT:
+                    self._pending[key] = mine = threading.Event()
+                    break
+            other.wait()  # the same request is being answered
+        try:
+            return self._answered(name, key, q)
+        finally:
+            with self._lock:
+                self._pending.pop(key, None)
+            mine.set()
+
+    def _answered(self, name: str, key: str, q: dict) -> tuple[int, dict]:
         try:
             answer = getattr(self, name)(q)
-        except (BadRequest, KeyError, TypeError) as e:
+        except (BadRequest, KeyError, TypeError, ValueError) as e:
             return 400, {"error": str(e)}
         if name in self.KEPT:
             with self._lock:

@@ -44,6 +44,15 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
 
 
+def marked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, whose columns together have more cells than the rows can fill; z: every fifth part."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(key.alias("id"), "p_brand", "p_type", "p_size", F.concat(F.lit("v"), key % 5).alias("bucket"), (key % 5 == 0).cast("int").alias("z"))
+
+
+PARTS_SQL = "SELECT p_partkey AS id, p_brand, p_type, p_size, 'v' || (p_partkey % 5)::VARCHAR AS bucket, (p_partkey % 5 = 0)::INT AS z FROM part"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with hour of day, user group and size of value; z: purchase."""
     t = table(spark, sf_dir, "events")
@@ -62,4 +71,5 @@ EVENTS_SQL = """SELECT event_id AS id, event_type, floor(hour(ts) / 6)::INT::VAR
 
 LINE_FEATURES = ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount"]
 ORDER_FEATURES = ["o_orderpriority", "c_mktsegment", "r_name"]
+PART_FEATURES = ["p_brand", "p_type", "p_size"]
 EVENT_FEATURES = ["quarter", "user_group", "size"]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselight.functions import binomial as B
-from tesselight.operators import capacity, cube, landscape, search
+from tesselight.operators import capacity, cube, landscape, search, validation
 from tesselight.operators.encoding import merge_states
 from tesselight.spec import Rule, Target, certificate, framed, positive_value, resolve_target, void_reason
 
@@ -170,6 +170,67 @@ def test_empty_frame(spark):
     assert search.branches(empty, ["a", "b"], Rule(), 2).count() == 0
 
 
+def test_names_of_levels_stay_apart(spark):
+    """A missing level, a text that reads like it, and texts that hold separators."""
+    values = [None, "missing", "'missing'", "a\x1fb", "a", "b", "\x1e0", "\x1e", "\x1f", ""]
+    rows = [(v, w, i % 2) for i, (v, w) in enumerate((v, w) for v in values for w in values)]
+    frame = spark.createDataFrame(rows, "a string, b string, z int")
+    for form in ("arrow", "grouping_sets"):
+        got = cube.cells(frame, ["a", "b"], 2, form=form).collect()
+        assert all(len(r["cell"]) == r["d"] for r in got) and [r["n"] for r in got if r["d"] == 2] == [1] * 100
+        assert {r["n"] for r in got if r["d"] == 1} == {10}
+        assert {tuple(r["cell"]) for r in got if r["schema_id"] == 0} == {("missing",), ("'missing'",), ("''missing''",), *((v,) for v in values[3:])}
+    sizes, counted = cube.value_cells(frame.drop("z"), ["a"], "b", 1)
+    assert {(r["cell"][0], r["n"]) for r in sizes.collect()} == {(x, 10) for x in ("missing", "'missing'", "''missing''", *values[3:])}
+    assert {r["value"] for r in counted.collect()} == set(values) - {None}
+
+
+def test_folds_merge_by_their_training_rows(spark):
+    r = random.Random(7)
+    rows = [(i, r.choice("abcdefghijklmnopqrstuvw"), r.randrange(14), r.randrange(2)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, a string, b int, z int")
+    folded = validation.folds(frame, "id", 5, 1).cache()
+    fold = {x["id"]: x["fold"] for x in folded.collect()}
+    got = {}
+    for x in validation.fold_cells(folded, ["a", "b"], 2, encoding="train", ordered={"b": True}).collect():
+        got[x["_part"], x["schema_id"], tuple(x["cell"])] = (x["n"], x["k"], x["n_train"], x["k_train"])
+    want = {}
+    for f in range(5):
+        train = [x for x in rows if fold[x[0]] != f]
+        count = [None, Counter(x[1] for x in train), Counter(x[2] for x in train)]
+        every = [None, sorted({x[1] for x in rows}), sorted({x[2] for x in rows})]
+
+        def level(c, k, count=count, every=every, train=train):
+            if k >= len(count[c]):
+                return {v: str(v) for v in every[c]}
+            if c == 1:
+                order = sorted(count[c], key=lambda v: (-count[c][v], v))
+                return {v: f"#{min(order.index(v), k - 1) if v in count[c] else k - 1}" for v in every[c]}
+            before, raw, last = 0, {}, 0
+            for v in every[c]:
+                if count[c][v]:
+                    last = before * k // len(train)
+                raw[v] = last
+                before += count[c][v]
+            dense = sorted(set(raw.values()))
+            return {v: f"#{dense.index(g)}" for v, g in raw.items()}
+
+        for i, s in enumerate([(1,), (2,), (1, 2)]):
+            for state in merge_states([len(count[c]) for c in s]):
+                maps = [level(c, k) for c, k in zip(s, state)]
+                if len({tuple(m[x[c]] for m, c in zip(maps, s)) for x in train}) <= len(train) // 10:
+                    break
+            for x in rows:
+                key = (f"0-{f}", i, tuple(m[x[c]] for m, c in zip(maps, s)))
+                h = want.setdefault(key, [0, 0, 0, 0])
+                at = 0 if fold[x[0]] == f else 2
+                h[at] += 1
+                h[at + 1] += x[3]
+    assert got == {k: tuple(h) for k, h in want.items()}
+    kept, gains = validation.select_width(folded, [["a"], ["a", "b"]], Rule(tau=0.6), "train", {"b": True})
+    assert kept in (1, 2) and [(x["d"], x["against"]) for x in gains.collect()] == [(2, 1)]
+
+
 def test_crowded_schemas_merge_like_brute_force(spark):
     r = random.Random(2)
     rows = [{"a": r.choice("abcdefghijkl"), "b": r.randrange(9), "c": r.choice("xy"), "z": r.randrange(2)} for _ in range(500)]
