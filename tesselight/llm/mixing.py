@@ -49,7 +49,8 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
 def take(docs: DataFrame, carry: bool = False) -> DataFrame:
     """size, source_size, target and taken for each document; ``carry``: all columns as ``_row``, _size and _taken."""
     spark = docs.sparkSession
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # the text too: rows without a doc_id, or with the same one, spread over the ranges
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     sized = docs.select("doc_id", "source", *own, n_words(F.col("text")).alias("_size"), key.alias("_key"))
     if not carry:
@@ -67,7 +68,7 @@ def take(docs: DataFrame, carry: bool = False) -> DataFrame:
     within = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     out = sized.withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     out = out.join(offsets, F.col("source").eqNullSafe(F.col("_source2")) & (F.col("_range") == F.col("_range2")))
-    out = out.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))  # a row per source
+    out = out.join(plan, F.col("source").eqNullSafe(F.col("_source")))  # a row per source: Spark knows its size
     epochs = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0)
     rest = F.floor(F.col("_target")) - epochs * F.col("_source_size")
     part = F.greatest(F.lit(0), F.least(F.col("_size"), rest - F.col("_offset") - F.col("_before")))
@@ -97,7 +98,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+                  md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w FROM d GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY n::DOUBLE / w, source NULLS LAST) AS i FROM s),
 f AS (SELECT j, (1.5 * (SELECT sum(n)::DOUBLE FROM s) - (SELECT coalesce(sum(2 * n), 0)::DOUBLE FROM o WHERE i <= j))

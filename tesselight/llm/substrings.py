@@ -20,7 +20,8 @@ must meet:
 4. A hash with more than ``HOT`` contexts (a passage in a large share of all documents) would fill
    one task. Its contexts are cut into pieces by where the window starts, eight starts a piece, and
    meet under the hash of the bytes that all windows of a piece share; what is still hot is cut
-   into single windows. Pieces go through 2. and 3. again, so nothing is lost or capped.
+   into single windows, of which one hash has at most LENGTH - GRAM + 1 contexts (places of the
+   anchor). Pieces go through 2. and 3. again, so nothing is lost or capped.
 
 Edge cases: null text is empty; texts under LENGTH bytes stay; rows with a null doc_id come after
 all others, and rows that share a doc_id are ordered by their texts (then arbitrarily among equal
@@ -391,7 +392,8 @@ def spans(docs: DataFrame) -> DataFrame:
         collected(spark)
         several = written(_several(summed), "cut", compression="zstd")
         discard(summed)
-        out.append(written(_sorted_spans(several.where(F.col("k") <= HOT)), "spans"))
+        # under one window's hash its contexts differ in the anchor's place alone: all of them go on
+        out.append(written(_sorted_spans(several.where(F.col("k") <= HOT) if starts > 1 else several), "spans"))
         collected(spark)
         hot = several.where(F.col("k") > HOT)
     spans_ = out[0]

@@ -168,16 +168,19 @@ def family_size(frame: DataFrame, features: list[str], row_id: str, widest: int
     """
     prints = frame.select(*features, F.xxhash64(F.lit(1), row_id).alias("_pa"), F.xxhash64(F.lit(2), row_id).alias("_pb"))
     wanted = schemas(features, widest)
-    grouped = _labelled(prints, features).groupingSets([[F.col(c) for c in s] for s in wanted], *[F.col(c) for c in features])
-    sets = grouped.agg(F.grouping_id().alias("_g"), F.count("*").alias("n"), F.bit_xor("_pa").alias("_xa"), F.bit_xor("_pb").alias("_xb"))
+    # rows that agree in all features are one row from here on
+    small = _labelled(prints, features).groupBy(*features).agg(F.count("*").alias("_n"), F.bit_xor("_pa").alias("_pa"), F.bit_xor("_pb").alias("_pb")).persist()
+    grouped = small.groupingSets([[F.col(c) for c in s] for s in wanted], *[F.col(c) for c in features])
+    sets = grouped.agg(F.grouping_id().alias("_g"), F.sum("_n").alias("n"), F.bit_xor("_pa").alias("_xa"), F.bit_xor("_pb").alias("_xb"))
     bits = {s: sum(1 << (len(features) - 1 - i) for i, c in enumerate(features) if c not in s) for s in wanted}
     ids = F.create_map(*[F.lit(x) for i, s in enumerate(wanted) for x in (bits[s], i)])
     cell = F.filter(F.array(*[F.when(F.col("_g").bitwiseAND(1 << (len(features) - 1 - i)) == 0, F.col(c)) for i, c in enumerate(features)]), lambda v: v.isNotNull())
     names = F.create_map(*[F.lit(x) for i, s in enumerate(wanted) for x in (i, "+".join(s))])
     raw = sets.select(ids[F.col("_g").cast("int")].alias("schema_id"), cell.alias("cell"), "n", F.col("_xa").alias("a"), F.col("_xb").alias("b"))
     raw = raw.withColumn("features", F.split(names[F.col("schema_id")], r"\+")).withColumn("d", F.size("features")).persist()
-    searched = coarsened(raw.select("schema_id", "d", "features", "cell", "n", "a", "b"), frame, features, frame.count(), ordered)
+    searched = coarsened(raw.select("schema_id", "d", "features", "cell", "n", "a", "b"), frame, features, small.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0], ordered)
     out = raw.select("n", "a", "b").unionAll(searched.select("n", "a", "b")).distinct().count()
     raw.unpersist()
+    small.unpersist()
     return out
 

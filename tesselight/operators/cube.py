@@ -15,13 +15,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text of a missing category in a cell.
 MISSING = "missing"
-#: Schemas that one pass over the rows counts; more are split into several passes.
-SCHEMAS_A_PASS = 4000
+#: Schemas that are counted together over the same rows; rows go to each such chunk.
+SCHEMAS_A_CHUNK = 400
 CELLS = "schema_id int, code binary, n long, k long"
 
 
@@ -99,6 +100,56 @@ def _named(df: DataFrame, wanted: list[tuple[str, ...]]) -> DataFrame:
     return df.withColumn("d", F.size("features"))
 
 
+def _dense(group: np.ndarray, many: int) -> tuple[np.ndarray, int]:
+    """Numbers below ``many`` as places among those that occur."""
+    if many <= 8 * len(group) + 4096:
+        seen = np.zeros(many, bool)
+        seen[group] = True
+        rank = np.cumsum(seen) - 1
+        return rank[group], int(rank[-1]) + 1
+    found, group = np.unique(group, return_inverse=True)
+    return group.reshape(-1), len(found)
+
+
+def _counted(rows: pa.RecordBatch, width: int, first: int, wanted: list[tuple[int, ...]]) -> Iterator[tuple]:
+    """(schema, cell, n, k) arrays of each wanted tuple of columns.
+
+    Tuples come in the order of combinations, so most start as the one before, whose groups are kept.
+    """
+    if not rows.num_rows:
+        return
+    codes, words = [], []
+    for i in range(width):
+        e = rows.column(i).dictionary_encode()
+        codes.append(np.asarray(e.indices, np.int64))
+        # 1E keeps the separator 1F apart from what a label holds
+        words.append(pa.array([v.replace("\x1e", "\x1e0").replace("\x1f", "\x1e1") for v in e.dictionary.to_pylist()], pa.string()))
+    n, k = (np.asarray(rows.column(i)).astype(np.float64) for i in (width, width + 1))  # exact below 2 ** 53
+    back = np.arange(rows.num_rows)[::-1]
+    path: list[tuple[int, np.ndarray, int]] = []
+    for schema, cols in enumerate(wanted, first):
+        same = 0
+        while same < min(len(path), len(cols)) and path[same][0] == cols[same]:
+            same += 1
+        del path[same:]
+        for c in cols[same:]:
+            group, size = (path[-1][1], path[-1][2]) if path else (np.zeros(rows.num_rows, np.int64), 1)
+            path.append((c, *_dense(group * len(words[c]) + codes[c], size * len(words[c]))))
+        _, group, size = path[-1]
+        one = np.empty(size, np.int64)
+        one[group[::-1]] = back  # the first row of each group
+        cell = pc.binary_join_element_wise(*[words[c].take(pa.array(codes[c][one])) for c in cols], "\x1f")
+        yield np.full(size, schema, np.int32), cell, np.bincount(group, n, size).astype(np.int64), np.bincount(group, k, size).astype(np.int64)
+
+
+def _joined(done: list[list]) -> pa.RecordBatch:
+    schema, cell, n, k = done
+    out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(schema)), pa.concat_arrays(cell).cast(pa.binary()), pa.array(np.concatenate(n)), pa.array(np.concatenate(k))], ["schema_id", "code", "n", "k"])
+    for x in done:
+        x.clear()
+    return out
+
+
 def cells_by_arrays(frame: DataFrame, features: list[str], widest: int, only: list[tuple[str, ...]] | None = None, by: str | None = None) -> DataFrame:
     """Cells by partial counts in Arrow batches and a final aggregate.
 
@@ -111,38 +162,29 @@ def cells_by_arrays(frame: DataFrame, features: list[str], widest: int, only: li
     frame = frame if "z" in frame.columns else frame.withColumn("z", F.lit(0))
     small = _labelled(frame.select("z", *features), given).groupBy(*features).agg(F.count("*").alias("n"), F.sum("z").cast("long").alias("k"))
     place = {c: i for i, c in enumerate(features)}
-    parts = []
-    for at in range(0, len(wanted), SCHEMAS_A_PASS):
-        todo = [(at + i, [*([0] if by else []), *(place[c] for c in s)]) for i, s in enumerate(wanted[at : at + SCHEMAS_A_PASS])]
-
-        def count(batches: Iterator[pa.RecordBatch], todo: list[tuple[int, list[int]]] = todo) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                codes, words = [], []
-                for i in range(len(features)):
-                    e = b.column(i).dictionary_encode()
-                    codes.append(np.asarray(e.indices, np.int64))
-                    # 1E keeps the separator 1F apart from what a label holds
-                    words.append([v.replace("\x1e", "\x1e0").replace("\x1f", "\x1e1") for v in e.dictionary.to_pylist()])
-                n, k = np.asarray(b.column(len(features))), np.asarray(b.column(len(features) + 1))
-                for schema, cols in todo:
-                    flat = np.zeros(b.num_rows, np.int64)
-                    for c in cols:
-                        # dense after each column, so the product stays below rows * levels
-                        flat = np.unique(flat * len(words[c]) + codes[c], return_inverse=True)[1].reshape(-1)
-                    first = np.unique(flat, return_index=True)[1]
-                    cells = ["\x1f".join(words[c][codes[c][r]] for c in cols).encode() for r in first.tolist()]
-                    size = len(first)
-                    sums = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
-                    np.add.at(sums[0], flat, n)
-                    np.add.at(sums[1], flat, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, schema, np.int32)), pa.array(cells, pa.binary()), *map(pa.array, sums)], ["schema_id", "code", "n", "k"])
-
-        parts.append(small.mapInArrow(count, CELLS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
+    columns = [tuple([*([0] if by else []), *(place[c] for c in s)]) for s in wanted]
+    chunks = max(1, -(-len(wanted) // SCHEMAS_A_CHUNK))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[list[np.ndarray | pa.Array]] = [[], [], [], []]
+        for b in batches:
+            which = np.asarray(b.column(len(features) + 2))
+            for chunk in np.unique(which).tolist():
+                rows = b.filter(pa.array(which == chunk)) if chunks > 1 else b
+                first = chunk * SCHEMAS_A_CHUNK
+                for part in _counted(rows, len(features), first, columns[first : first + SCHEMAS_A_CHUNK]):
+                    for held, x in zip(done, part):
+                        held.append(x)
+                    if sum(map(len, done[0])) >= 1 << 16:
+                        yield _joined(done)
+            if done[0]:
+                yield _joined(done)
+
+    dealt = small.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    if chunks > 1:  # schemas are work as rows are: both are dealt out
+        splits = max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) // chunks)
+        dealt = dealt.repartition(chunks * splits, "_chunk", F.pmod(F.xxhash64(*features), F.lit(splits)))
+    out = dealt.select(*features, "n", "k", "_chunk").mapInArrow(count, CELLS)
     out = out.groupBy("schema_id", "code").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     plain = lambda v: F.replace(F.replace(v, F.lit("\x1e1"), F.lit("\x1f")), F.lit("\x1e0"), F.lit("\x1e"))
     out = _named(out, wanted).withColumn("cell", F.transform(F.split(F.col("code").cast("string"), "\x1f"), plain))

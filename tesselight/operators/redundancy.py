@@ -15,6 +15,7 @@ from ..spec import Rule
 from .capacity import settle, words_of
 from .cube import cells as make_cells
 from .cube import _labelled, schemas
+from .landscape import bin_of, placed
 from .search import TIE, centres, total
 
 #: Least similarity of a pair that is kept, similarity of a group, and distinct sets at most.
@@ -23,9 +24,9 @@ HISTOGRAM_WIDTH = 0.05
 
 
 def collect(frame: DataFrame, features: list[str], rule: Rule, row_id: str, widest: int = 3, ordered: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(centres, sets, members): each centre with its set_id, ranked distinct row sets, (set_id, row, w).
+    """(centres, sets, members): each centre with its set_id, ranked distinct row sets, (set_id, row, w, p).
 
-    A set's rank is its place by width, lower bound, size and first centre; set_id is that rank.
+    ``w`` and ``p`` are the rows, and those with z, that a member row stands for. A set's rank is its place by width, lower bound, size and first centre; set_id is that rank.
     Cells are those of the search, merged where a schema has too many.
     """
     raw = make_cells(frame, features, widest).persist()
@@ -33,10 +34,10 @@ def collect(frame: DataFrame, features: list[str], rule: Rule, row_id: str, wide
     found = centres(merged.apply(raw), rule).where("is_centre")
     found = found.withColumn("lower", exact_lower_udf(F.col("k"), F.col("n"), F.col("level"))).drop("is_centre")
     # rows of a centre: each schema's key of a combination of features, matched with the cell's
-    keyed = _labelled(frame.select(F.col(row_id).alias("row"), *features), features)
-    combos = keyed.groupBy(*features).agg(F.min("row").alias("row"), F.count("*").alias("w"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), "row")).alias("b"))
+    keyed = _labelled(frame.select(F.col(row_id).alias("row"), "z", *features), features)
+    combos = keyed.groupBy(*features).agg(F.min("row").alias("row"), F.count("*").alias("w"), F.sum("z").cast("long").alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), "row")).alias("b"))
     keys = F.array(*[F.struct(F.lit(i).alias("schema_id"), F.array(*[F.col(c) for c in s]).alias("cell")) for i, s in enumerate(schemas(features, widest))])
-    rows = combos.select("row", "w", "a", "b", F.explode(keys).alias("x")).select("x.*", "row", "w", "a", "b")
+    rows = combos.select("row", "w", "p", "a", "b", F.explode(keys).alias("x")).select("x.*", "row", "w", "p", "a", "b")
     if merged.crowded:
         rows = merged.relabelled(rows)
     held = rows.join(found.select("schema_id", "cell"), ["schema_id", "cell"]).persist()
@@ -50,7 +51,7 @@ def collect(frame: DataFrame, features: list[str], rule: Rule, row_id: str, wide
     sets = sets.withColumn("set_id", rank)
     ids = sets.select("n", "a", "b", "set_id")
     named = marked.join(ids, ["n", "a", "b"]).drop("a", "b")
-    members = held.join(sets.select("set_id", F.col("best.schema_id").alias("schema_id"), F.col("best.cell").alias("cell")), ["schema_id", "cell"]).select("set_id", "row", "w")
+    members = held.join(sets.select("set_id", F.col("best.schema_id").alias("schema_id"), F.col("best.cell").alias("cell")), ["schema_id", "cell"]).select("set_id", "row", "w", "p")
     sets = sets.select("set_id", F.col("best.d").alias("d"), F.col("best.schema_id").alias("schema_id"), F.col("best.cell").alias("cell"), "n", "k", (-F.col("best.o")).alias("lower"), "centres")
     return named, sets, members
 
@@ -106,13 +107,35 @@ def groups(sets: DataFrame, pairs: DataFrame, at: float = GROUP_AT) -> DataFrame
 
 
 def group_table(sets: DataFrame, grouped: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
-    """Per group: sets, centres, widths of its schemas, features, and the union of its rows."""
+    """Per group: sets, centres, schemas by width, least similarity, and the union of its rows (n, k, purity)."""
     led = grouped.select("set_id", "leader")
-    union = members.join(led, "set_id").select("leader", "row", "w").distinct().groupBy("leader").agg(F.sum("w").alias("union_n"))
+    union = members.join(led, "set_id").select("leader", "row", "w", "p").distinct().groupBy("leader").agg(F.sum("w").alias("union_n"), F.sum("p").alias("union_k"))
     of = named.join(led, "set_id")
     facts = of.groupBy("leader").agg(F.count_distinct("set_id").alias("sets"), F.count("*").alias("centres"), F.count_distinct("schema_id").alias("schemas"), F.sort_array(F.collect_set("d")).alias("widths"))
     head = sets.select(F.col("set_id").alias("leader"), "d", "n", "k")
-    return facts.join(union, "leader").join(head, "leader")
+    least = grouped.groupBy("leader").agg(F.min("similarity").alias("min_similarity"))
+    return facts.join(union, "leader").join(head, "leader").join(least, "leader").withColumn("union_purity", F.col("union_k") / F.col("union_n"))
+
+
+def coordinates(scored: DataFrame, direction: str = "presence") -> DataFrame:
+    """(schema_id, d, ix, iy, iy_all): a schema's bin of the landscape of its width, and of all widths."""
+    most = scored.agg(F.max("n_centers").alias("_most"))  # one row
+    at = placed(scored, direction).join(F.broadcast(most))
+    return at.select("schema_id", "d", "ix", "iy", bin_of(F.coalesce(F.try_divide(F.col("n_centers"), F.col("_most")), F.lit(0.0))).alias("iy_all"))
+
+
+def group_cells(named: DataFrame, grouped: DataFrame, scored: DataFrame, direction: str = "presence") -> DataFrame:
+    """(leader, d, ix, iy, iy_all, schemas): where in the landscape a group's schemas lie."""
+    of = named.join(grouped.select("set_id", "leader"), "set_id").select("leader", "schema_id").distinct()
+    return of.join(coordinates(scored, direction), "schema_id").groupBy("leader", "d", "ix", "iy", "iy_all").agg(F.count("*").alias("schemas"))
+
+
+def groups_in(cells: DataFrame, d: int | None = None, ix: int | None = None, iy: int | None = None) -> DataFrame:
+    """(leader): groups with a schema of this width, in this bin (without a width: of the landscape of all)."""
+    at = cells if d is None else cells.where(F.col("d") == d)
+    if ix is not None:
+        at = at.where((F.col("ix") == ix) & (F.col("iy_all" if d is None else "iy") == iy))
+    return at.select("leader").distinct()
 
 
 def group_features(named: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -140,12 +163,38 @@ def alternatives(named: DataFrame, sets: DataFrame, pairs: DataFrame, schema_id:
     return near.withColumn("place", F.row_number().over(w))
 
 
+def branch_view(named: DataFrame, sets: DataFrame, pairs: DataFrame, members: DataFrame, schema_id: int, at: float = GROUP_AT, kin: str = "all") -> DataFrame:
+    """For each centre of a schema: what other schemas' centres describe almost the same rows.
+
+    (cell, n, k, total, identical, schemas, simplest_d, simplest, union_n, union_k); ``kin`` keeps
+    alternatives whose schema is nested with this one ("related"), or is not ("unrelated").
+    """
+    if kin not in ("all", "related", "unrelated"):
+        raise ValueError(f"unknown kin: {kin}")
+    own = named.where(F.col("schema_id") == schema_id).select("cell", "n", "k", F.col("set_id").alias("a"), F.col("features").alias("_own"))
+    near = both_ways(pairs).where(F.col("similarity") >= at - TIE).select("a", "b", "similarity")
+    near = near.unionAll(own.select("a", F.col("a").alias("b"), F.lit(1.0).alias("similarity")).distinct())
+    other = named.where(F.col("schema_id") != schema_id).select(F.col("set_id").alias("b"), F.col("schema_id").alias("_schema"), F.col("features").alias("_features"), F.size("features").alias("_d"))
+    met = own.join(near, "a").join(other, "b")
+    if kin != "all":
+        nested = lineage(F.col("_own"), F.col("_features")) != "unrelated"
+        met = met.where(nested if kin == "related" else ~nested)
+    met = met.persist()
+    best = F.min(F.struct("_d", "b", "_schema", "_features"))
+    facts = met.groupBy("cell").agg(F.count("*").alias("total"), F.count(F.when(F.col("similarity") >= 1 - TIE, 1)).alias("identical"), F.count_distinct("_schema").alias("schemas"), best.alias("best"))
+    # the union of the centre's own rows and those of all alternatives
+    of = met.select("cell", F.col("b").alias("set_id")).unionAll(own.select("cell", F.col("a").alias("set_id"))).distinct()
+    union = of.join(members, "set_id").select("cell", "row", "w", "p").distinct().groupBy("cell").agg(F.sum("w").alias("union_n"), F.sum("p").alias("union_k"))
+    out = own.select("cell", "n", "k").join(facts, "cell", "left").join(union, "cell")
+    return out.select("cell", "n", "k", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("identical", F.lit(0)).alias("identical"), F.coalesce("schemas", F.lit(0)).alias("schemas"), F.col("best._d").alias("simplest_d"), F.col("best._features").alias("simplest"), "union_n", "union_k")
+
+
 def detail(grouped: DataFrame, sets: DataFrame, pairs: DataFrame, leader: int, rows: int) -> DataFrame:
-    """A group's sets against its leader: one-sided shares, chance, and similarity beyond chance."""
+    """A group's sets against its leader: one-sided shares and rows, chance, and similarity beyond chance."""
     own = grouped.where((F.col("leader") == leader) & (F.col("set_id") != leader)).select(F.col("set_id").alias("b"), F.col("leader").alias("a"))
     met = own.join(both_ways(pairs), ["a", "b"]).join(sets.select(F.col("set_id").alias("b"), "d", "cell"), "b")
     chance = F.least("n_a", "n_b") / F.lit(rows)
-    out = met.withColumns({"of_leader": F.col("shared") / F.col("n_a"), "of_member": F.col("shared") / F.col("n_b"), "chance": chance})
+    out = met.withColumns({"of_leader": F.col("shared") / F.col("n_a"), "of_member": F.col("shared") / F.col("n_b"), "chance": chance, "only_leader": F.col("n_a") - F.col("shared"), "only_member": F.col("n_b") - F.col("shared")})
     out = out.withColumn("beyond", F.try_divide(F.col("similarity") - F.col("chance"), 1 - F.col("chance")))
     return out.orderBy(F.desc("similarity"), "d", "b")
 

@@ -759,6 +759,33 @@ def describe_center_lines(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("feature", F.concat_ws(",", "values").alias("values"))
 
 
+@query(f"""{SETS}, o AS (SELECT cell, n, k, ids FROM c WHERE features = 'quarter+user_group+size'), m AS (SELECT o.cell, x.d, x.features, x.ids, len(list_intersect(o.ids, x.ids))::DOUBLE / greatest(len(o.ids), len(x.ids)) AS s
+  FROM o, c x WHERE x.features <> 'quarter+user_group+size'), a AS (SELECT * FROM m WHERE s >= 0.5 - 1e-12),
+t AS (SELECT cell, count(*) AS total, count(*) FILTER (s >= 1 - 1e-12) AS identical, count(DISTINCT features) AS schemas, min(d)::INT AS simplest_d FROM a GROUP BY cell),
+u AS (SELECT cell, count(DISTINCT id) AS union_n FROM (SELECT cell, unnest(ids) AS id FROM a UNION ALL SELECT cell, unnest(ids) FROM o) GROUP BY cell)
+SELECT o.cell, n, k, coalesce(total, 0) AS total, coalesce(identical, 0) AS identical, coalesce(schemas, 0) AS schemas, simplest_d, union_n FROM o LEFT JOIN t USING (cell) JOIN u USING (cell)""")
+def branch_view_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The centres of the widest schema, and what else describes their rows."""
+    named, sets, members = _sets(spark, sf)
+    out = redundancy.branch_view(named, sets, redundancy.similar(sets, members), members, 6, 0.5)
+    return _flat(out).select("cell", "n", "k", "total", "identical", "schemas", "simplest_d", "union_n")
+
+
+@query(twins.events(f""", most AS (SELECT max(n_centers) AS most FROM s), {twins.PLACED}, x AS (SELECT p.*, {twins.BIN.format('coalesce(n_centers::DOUBLE / nullif(most, 0), 0)')} AS iy_all FROM p, most)
+SELECT d, ix, iy, iy_all, count(*) AS schemas FROM x WHERE n_centers > 0 GROUP BY ALL""", 0.21).replace("FROM scores) ,", "FROM scores),"))
+def group_cells_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Where in the landscape the groups' schemas lie; every schema with centres lies in some group."""
+    df = frames.events(spark, sf)
+    named, sets, members = _sets(spark, sf)
+    grouped = redundancy.groups(sets, redundancy.similar(sets, members), 0.5)
+    scored = search.scores(search.searched_cells(df, EVENT_FEATURES, 3), SETS_RULE, wilson=False)
+    of = named.join(grouped.select("set_id", "leader"), "set_id").select("leader", "schema_id").distinct()
+    cells = redundancy.group_cells(named, grouped, scored)
+    at = redundancy.coordinates(scored).join(of.select("schema_id").distinct(), "schema_id", "left_semi")
+    # each bin that some group has, with its schemas counted once
+    return at.join(cells.select("d", "ix", "iy", "iy_all").distinct(), ["d", "ix", "iy", "iy_all"], "left_semi").groupBy("d", "ix", "iy", "iy_all").agg(F.count("*").alias("schemas"))
+
+
 @query(_merged(2, "SELECT features, n, k FROM marked WHERE yes", 0.4))
 def center_sets_part(spark: SparkSession, sf: str) -> DataFrame:
     """The catalogue of centres over merged partitions."""
