@@ -34,10 +34,11 @@ def collect(frame: DataFrame, features: list[str], rule: Rule, row_id: str, wide
     found = centres(merged.apply(raw), rule).where("is_centre")
     found = found.withColumn("lower", exact_lower_udf(F.col("k"), F.col("n"), F.col("level"))).drop("is_centre")
     # rows of a centre: each schema's key of a combination of features, matched with the cell's
-    keyed = _labelled(frame.select(F.col(row_id).alias("row"), "z", *features), features)
-    combos = keyed.groupBy(*features).agg(F.min("row").alias("row"), F.count("*").alias("w"), F.sum("z").cast("long").alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), "row")).alias("b"))
+    keyed = _labelled(frame.select(F.col(row_id).alias("_row"), "z", *features), features)
+    of = F.struct(F.min("_row").alias("row"), F.count("*").alias("w"), F.sum("z").cast("long").alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "_row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(2), "_row")).alias("b"))
+    combos = keyed.groupBy(*features).agg(of.alias("_of"))  # a feature may have any of these names
     keys = F.array(*[F.struct(F.lit(i).alias("schema_id"), F.array(*[F.col(c) for c in s]).alias("cell")) for i, s in enumerate(schemas(features, widest))])
-    rows = combos.select("row", "w", "p", "a", "b", F.explode(keys).alias("x")).select("x.*", "row", "w", "p", "a", "b")
+    rows = combos.select("_of", F.explode(keys).alias("x")).select("x.*", "_of.*")
     if merged.crowded:
         rows = merged.relabelled(rows)
     held = rows.join(found.select("schema_id", "cell"), ["schema_id", "cell"]).persist()
