@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -10,11 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Python workers cut a batch into blocks of at most this many text bytes.
-BLOCK_BYTES = 4 << 20
+#: Python workers cut a batch into blocks of at most this many text bytes; each takes up to 60 times its size.
+BLOCK_BYTES = 1 << 19
 
 U64 = np.uint64
 
@@ -78,9 +81,24 @@ KEPT: list[dict] = []
 
 
 def release() -> None:
-    """Drop what earlier operators have kept: Spark reuses workers, and memory is shared."""
+    """Drop what earlier operators have kept: Spark reuses workers, and memory is shared.
+
+    What they freed goes back to the system too, not only to this process's allocators.
+    """
     for x in KEPT:
         x.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of few rows. Rows given to Spark as Arrow need no Python workers of their own on executors."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds))
 
 
 def tasks(spark: SparkSession) -> int:

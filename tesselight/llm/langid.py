@@ -38,13 +38,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import U64, blocks, fresh, release, utf8
+from .common import U64, blocks, fresh, local, release, utf8
 
 #: Documents of each language that the classifier is fitted on, and bytes after which none is added.
 SAMPLE, SAMPLE_BYTES = 250, 4 << 20
 #: Bytes of context, at most.
 ORDER = 4
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 UNKNOWN = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
@@ -219,7 +219,7 @@ def train(docs: DataFrame) -> Model:
     sample = ranked.where((F.col("r") <= SAMPLE) & (F.coalesce("before", F.lit(0)) < SAMPLE_BYTES)).select("lang", "h").collect()
     if not sample:
         return fit([])
-    wanted = docs.sparkSession.createDataFrame([(x["lang"], x["h"]) for x in sample], "lang string, h long")
+    wanted = local(docs.sparkSession, [(x["lang"], x["h"]) for x in sample], "lang string, h long")
     # at most SAMPLE rows a language
     texts = rows.join(F.broadcast(wanted), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
     return fit([(r["lang"], r["text"].encode()) for r in texts.select("lang", "text").collect()])

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import local, n_words, written
 
 #: Fixed by the contract of the query.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -60,7 +60,7 @@ def take(docs: DataFrame, carry: bool = False) -> DataFrame:
     digits = 1
     while 16**digits * RANGE_ROWS < rows:
         digits += 1
-    plan = spark.createDataFrame([(s, n, t) for s, n, t in targets([(r["source"], r["n"]) for r in per_source])], "_source string, _source_size long, _target double")
+    plan = local(spark, targets([(r["source"], r["n"]) for r in per_source]), "_source string, _source_size long, _target double")
     sized = sized.withColumn("_range", F.substring("_key", 1, digits))
     # a row for each source and range: at most rows / RANGE_ROWS * 16 times the sources
     by_source = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

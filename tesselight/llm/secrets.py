@@ -99,7 +99,7 @@ def scan(docs: DataFrame) -> DataFrame:
             ids, texts = b.column(0), b.column(1)
             buf, offsets = utf8(texts)
             every = {}
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, 4 << 20):
                 every |= {i + t: x for t, x in spans(rules, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).items()}
             counts, digests, lists, structs = np.zeros((3, len(ids)), np.int64), [none] * len(ids), [""] * len(ids), [[]] * len(ids)
             for i, found in every.items():

@@ -193,6 +193,7 @@ KEPT.append(_ENCODERS)
 def encoder(path: str) -> TextEncoder:
     """One encoder for each worker process, which Spark uses for many tasks."""
     if path not in _ENCODERS:
+        release()  # what earlier operators freed
         _ENCODERS[path] = (WordEncoder if WordEncoder.suits(path) else TextEncoder)(path)
     return _ENCODERS[path]
 
@@ -280,9 +281,9 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             buf, offsets = utf8(b.column(1))
-            texts, at, docs_ = buf.tobytes(), offsets.tolist(), b.column(0).to_pylist()
+            at, docs_ = offsets.tolist(), b.column(0).to_pylist()
             for i, j in blocks(offsets, 1 << 20):
-                for k, flat in enumerate(e.encode([texts[at[x] : at[x + 1]] for x in range(i, j)]), i):
+                for k, flat in enumerate(e.encode([buf[at[x] : at[x + 1]].tobytes() for x in range(i, j)]), i):
                     flat += end
                     ids.append(docs_[k] or 0)
                     nulls.append(docs_[k] is None)

@@ -707,3 +707,55 @@ def test_pipeline(spark, tmp_path):
     assert left[3] <= clean
     tokens = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(tokens) == docs.count() and {x["doc_id"] for x in tokens} == left[3]
+
+
+# memory of executors, which Spark and the workers share
+
+
+def _resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096 / 1e6
+
+
+def test_release_gives_memory_back():
+    kept, rest = {}, []
+    common.KEPT.append(kept)
+    try:
+        for i in range(50_000):
+            kept[i] = bytes(2000)
+            if i % 100 == 0:
+                rest.append(bytes(2000))  # stays, between what goes
+        full = _resident()
+        common.release()
+        assert not kept and len(rest) == 500 and full - _resident() > 70
+    finally:
+        common.KEPT.remove(kept)
+
+
+def test_learned_rows_need_no_workers_of_their_own(docs, monkeypatch):
+    from pyspark import SparkContext
+
+    def parallelize(*args, **more):
+        raise AssertionError("Python rows go through Python workers on the executors")
+
+    monkeypatch.setattr(SparkContext, "parallelize", parallelize)
+    assert langid.train(docs).langs == ["x", "y"]
+    assert mixing.take(docs).count() == docs.count()
+
+
+def test_workers_take_memory_by_the_block():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(8)
+    text = words(r, 20_000)
+    items = decontaminate.Items([(1, decontaminate.prepared(words(r, 30)))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(70)), pa.array([text] * 70)], ["doc_id", "text"])  # 7 MB
+    run = decontaminate._finder(type("Shared", (), {"value": items}))
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == 0
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
