@@ -42,6 +42,8 @@ from .common import _BASE, _BYTE, U64, _powers, blocks, collected, discard, mix,
 from .suffix import bucket_orders
 
 LENGTH, GRAM = 100, 40
+#: Bytes of text in which anchors are looked for at once: arrays of 8 times as many stay in a core's cache.
+BLOCK = 1 << 17
 #: Contexts of one hash that one bucket takes.
 HOT = 128
 #: Bytes of contexts that are sorted together.
@@ -110,7 +112,7 @@ def _found(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids = np.asarray(b.column(0))
             buf, offsets = utf8(b.column(1))
-            for i, j in blocks(offsets, 1 << 19):
+            for i, j in blocks(offsets, BLOCK):
                 part, o = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 at, h, ranges = anchors(part, o)
                 text = np.searchsorted(o, at, "right") - 1
@@ -128,7 +130,7 @@ def _hashes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offsets = utf8(b.column(0))
-            for i, j in blocks(offsets, 1 << 19):
+            for i, j in blocks(offsets, BLOCK):
                 _, h, _ = anchors(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 

@@ -759,3 +759,19 @@ def test_workers_take_memory_by_the_block():
         assert tracemalloc.get_traced_memory()[1] < 100e6
     finally:
         tracemalloc.stop()
+
+
+def test_anchors_take_memory_by_the_block():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(9)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([words(r, 10_000) for _ in range(20)])], ["doc", "text"])  # 1 MB
+    run = substrings._found(type("Docs", (), {"mapInArrow": lambda self, f, _: f})())
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) > 20_000
+        assert tracemalloc.get_traced_memory()[1] < 16e6
+    finally:
+        tracemalloc.stop()
