@@ -24,15 +24,17 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import blocks, fresh, release, utf8, written
 
 #: Characters of a line, without white space at its ends, that make it worth looking up.
 LEAST = 20
-LINES = "key struct<no_id: boolean, doc_id: long, digest: string>, hashes array<long>, posted array<long>"
+KEY = "key struct<no_id: boolean, doc_id: long, digest: string>"
+LINES = f"{KEY}, hashes array<long>, posted array<long>"
 
 
 def line_hash(line: str) -> int:
@@ -48,20 +50,23 @@ def sequence_hash(hashes: list[int]) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8, person=b"sequence").digest(), "little", signed=True)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """Each document's line hashes, and what it posts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, hashes, posted of batches of key and text, by the block: Spark's batches hold up to 64 MB."""
+    release()
+    for b in batches:
+        for i, j in blocks(utf8(b.column(1))[1]):
             hashes, posted = [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(1)[i:j].to_pylist():
                 lines = (text or "").split("\n")
                 own = [line_hash(x) for x in lines]
                 hashes.append(own)
                 posted.append(list(dict.fromkeys(h for x, h in zip(lines, own) if len(x.strip()) >= LEAST)) or [sequence_hash(own)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(posted, pa.list_(pa.int64()))], ["key", "hashes", "posted"])
+            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(hashes, pa.list_(pa.int64())), pa.array(posted, pa.list_(pa.int64()))], ["key", "hashes", "posted"])
 
-    return docs.where("text is not null").select(_key().alias("key"), F.col("text").cast("string")).mapInArrow(run, LINES)
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """Each document's line hashes, and what it posts."""
+    return docs.where("text is not null").select(_key().alias("key"), F.col("text").cast("string")).mapInArrow(_hashed, LINES)
 
 
 def patience(later: list[int], earlier: list[int]) -> list[tuple[int, int, int]]:
@@ -136,6 +141,15 @@ def lost(later: list[int], earlier: list[int], posted: set[int]) -> list[int]:
     return [i for i, x in enumerate(gone) if x]
 
 
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, gone of batches of key and the three lists that :func:`lost` takes, by the block."""
+    release()
+    for b in batches:
+        for i, j in blocks(8 * sum(b.column(c).offsets.to_numpy().astype(np.int64) for c in (1, 2, 3))):
+            gone = [lost(x, y, set(posted)) for x, posted, y in zip(*(b.column(c)[i:j].to_pylist() for c in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """key and the numbers of the lines that go, for each document that loses any."""
     table = written(line_table(docs), "lines")
@@ -146,27 +160,28 @@ def repeated(docs: DataFrame) -> DataFrame:
     pairs = written(held.join(first, "h").where("key <> first").select("key", "first").distinct(), "pairs")
     later = one.select("key", F.col("hashes").alias("a"), "posted")
     earlier = one.select(F.col("key").alias("first"), F.col("hashes").alias("b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gone = [lost(x, y, set(posted)) for x, posted, y in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
-
-    aligned = pairs.join(earlier, "first").join(later, "key").select("key", "a", "posted", "b").mapInArrow(run, "key struct<no_id: boolean, doc_id: long, digest: string>, gone array<int>")
+    aligned = pairs.join(earlier, "first").join(later, "key").select("key", "a", "posted", "b").mapInArrow(_aligned, f"{KEY}, gone array<int>")
     # a document meets at most as many others as it has posts
     return aligned.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")).where(F.size("gone") > 0)
 
 
+def _kept(text: Column, lost: Column) -> Column:
+    """``text`` without the lines numbered in ``lost``, in proportion to its lines."""
+
+    def left(lines: Column) -> Column:
+        rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)  # by a hash set
+        return F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")
+
+    # the lines are a lambda's variable: as an expression, they would be split anew for each line that stays
+    return F.get(F.transform(F.array(F.split(text, "\n")), left), F.lit(0))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with text_kept, n_lines and n_removed (with ``_`` before a name that ``docs`` has)."""
     key, own, lost = (fresh(docs, x) for x in ("gone_key", "own_key", "gone_lines"))
     gone = repeated(docs).select(F.col("key").alias(key), F.col("gone").alias(lost))
     marked = docs.withColumn(own, _key()).join(gone, F.col(own) == F.col(key), "left")
-    lines = F.split("text", "\n")
-    # by a hash set of the lost lines' numbers, so in proportion to the lines
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     fewer = F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost))
-    made = {"text_kept": F.when(fewer > 0, kept).otherwise(F.col("text")), "n_lines": n.cast("long"), "n_removed": fewer.cast("long")}
+    made = {"text_kept": F.when(fewer > 0, _kept(F.col("text"), F.col(lost))).otherwise(F.col("text")), "n_lines": n.cast("long"), "n_removed": fewer.cast("long")}
     return marked.withColumns({fresh(docs, c): x for c, x in made.items()}).drop(own, key, lost)

@@ -430,6 +430,46 @@ def test_line_dedup_keeps_columns_of_its_names(spark):
     assert got[1]["_text_kept"] == text and got[2]["_text_kept"] == "first" and (got[2]["_n_lines"], got[2]["n_removed"]) == (3001, 3000)
 
 
+def test_line_dedup_takes_time_in_proportion_to_the_lines(spark):
+    import threading
+
+    common = "this line stands in both documents"
+    text = [f"only the later document has line {i}" for i in range(60_000)]
+    docs = spark.createDataFrame([(1, common), (2, "\n".join([*text[:30_000], common, *text[30_000:]]))], "doc_id long, text string")
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = {x["doc_id"]: x for x in lines.dedup(docs).collect()}
+    finally:
+        late.cancel()
+    assert got[1]["text_kept"] == common and got[2]["text_kept"] == "\n".join(text) and got[2]["n_removed"] == 1
+
+
+def test_line_dedup_takes_memory_by_the_block():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = "\n".join(str(i) for i in range(4000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(90)), pa.array([text] * 90)], ["key", "text"])  # 1.7 MB
+
+    def peak(run, batch):
+        rows = 0
+        tracemalloc.start()
+        try:
+            for b in run(iter([batch])):
+                rows += b.num_rows
+            return rows, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    rows, most = peak(lines._hashed, batch)
+    assert rows == 90 and most < 9e6
+    own, other = (pa.array([list(range(k, k + 4000)) for k in range(first, first + 4000, 100)], pa.list_(pa.int64())) for first in (0, 50))
+    rows, most = peak(lines._aligned, pa.RecordBatch.from_arrays([pa.array(range(40)), own, own, other], ["key", "a", "posted", "b"]))  # 3.8 MB
+    assert rows == 40 and most < 9e6
+
+
 # op 6
 
 
