@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -40,6 +41,7 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.options(**options).parquet(path)
+    trimmed(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,10 +63,26 @@ def discard(*frames: DataFrame) -> None:
 
 
 def collected(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer held."""
+    """Let Spark drop the shuffle files of plans that are no longer held, and the driver what compiling them has taken."""
     gc.collect()
     if hasattr(spark, "_jvm"):  # not under Connect, whose server sees to it itself
         spark._jvm.System.gc()
+        trimmed(spark)
+
+
+def trimmed(spark: SparkSession) -> None:
+    """Give the memory back that the driver's JVM has freed outside of its heap (its compiler's, mostly)."""
+    if not hasattr(spark, "_jvm"):
+        return
+    java, new = spark._jvm.java.lang, spark.sparkContext._gateway.new_array
+    name = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    command = new(java.Object, 4)
+    command[0], command[1] = name, "systemTrimNativeHeap"
+    beans = java.Class.forName("javax.management.MBeanServer").getMethods()  # the server's own class is not open to Py4J
+    try:
+        next(m for m in beans if m.getName() == "invoke").invoke(java.management.ManagementFactory.getPlatformMBeanServer(), command)
+    except Py4JError:  # only JVMs on glibc have it, from 17.0.9 on
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -772,6 +772,25 @@ def test_release_gives_memory_back():
         common.KEPT.remove(kept)
 
 
+def test_driver_gives_freed_memory_back(spark):
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident():
+        return sum(int(x) for x in re.findall(r"\nAnonymous:\s+(\d+)", open(f"/proc/{pid}/smaps_rollup").read())) / 1e3
+
+    for _ in range(2):
+        jvm.System.gc()  # the heap is as small as it gets
+    empty_ = resident()
+    held = [jvm.java.util.zip.Deflater() for _ in range(2000)]
+    for x in held[:-1]:
+        x.end()  # frees its native memory, below what the last one holds
+    full = resident()
+    common.collected(spark)
+    assert full - empty_ > 60 and resident() - empty_ < (full - empty_) / 2
+    held[-1].end()
+
+
 def test_learned_rows_need_no_workers_of_their_own(docs, monkeypatch):
     from pyspark import SparkContext
 
