@@ -36,15 +36,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+#: For a local shared folder alone: no .crc beside each file. Hadoop starts ``chmod`` for every file that it makes, and
+#: each such process shares its JVM's whole memory until it runs. Parquet pages have checksums of their own.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**PLAIN_FILES, **options).parquet(path)
     trimmed(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in a quarter of the usual partitions: for short rows, of which each would be a small file."""
+    return df.repartition(max(1, tasks(df.sparkSession) // 4))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or one like it that ``df`` has not."""
     taken = {c.lower() for c in df.columns}

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, U64, _powers, blocks, collected, discard, mix, tasks, utf8, written
+from .common import _BASE, _BYTE, U64, _powers, blocks, collected, discard, gathered, mix, tasks, utf8, written
 from .suffix import bucket_orders
 
 LENGTH, GRAM = 100, 40
@@ -373,13 +373,13 @@ def spans(docs: DataFrame) -> DataFrame:
     summed = written(_summed(found, "p"), "contexts")
     collected(spark)
     whole = _copies(found, summed, "p").select("doc", F.greatest(F.col("p") - _SIDE, F.lit(0)).alias("s"), (F.col("p") + LENGTH).alias("e"))
-    out = [written(_merged(whole), "copies")]
+    out = [written(gathered(_merged(whole)), "copies")]
     discard(found)
     collected(spark)
     bytes_ = written(_cut(long, _several(summed)), "cut", compression="zstd")
     discard(summed)
     collected(spark)
-    out.append(written(_sorted_spans(bytes_.where(F.col("k") <= HOT)), "spans"))
+    out.append(written(gathered(_sorted_spans(bytes_.where(F.col("k") <= HOT))), "spans"))
     collected(spark)
     hot = bytes_.where(F.col("k") > HOT)
     for starts in (8, 1):
@@ -389,13 +389,13 @@ def spans(docs: DataFrame) -> DataFrame:
         summed = written(_summed(found, "at", "a", "bytes"), "contexts", compression="zstd")
         collected(spark)
         again = _copies(found.select("h", "c", "doc", "at", F.octet_length("bytes").alias("size")), summed, "at")
-        out.append(written(_merged(again.select("doc", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))), "copies"))
+        out.append(written(gathered(_merged(again.select("doc", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e")))), "copies"))
         discard(found)
         collected(spark)
         several = written(_several(summed), "cut", compression="zstd")
         discard(summed)
         # under one window's hash its contexts differ in the anchor's place alone: all of them go on
-        out.append(written(_sorted_spans(several.where(F.col("k") <= HOT) if starts > 1 else several), "spans"))
+        out.append(written(gathered(_sorted_spans(several.where(F.col("k") <= HOT) if starts > 1 else several)), "spans"))
         collected(spark)
         hot = several.where(F.col("k") > HOT)
     spans_ = out[0]

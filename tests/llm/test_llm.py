@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import uuid
 import zlib
 from collections import Counter
 
@@ -501,6 +502,18 @@ def test_substrings_equal_brute_force(docs, rows, hot):
 # op 7
 
 
+def test_spans_are_written_as_few_files(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch", lambda spark, name: f"file://{tmp_path}/{name}-{uuid.uuid4().hex}")
+    monkeypatch.setattr(common, "tasks", lambda spark: 32)
+    monkeypatch.setattr(substrings, "tasks", lambda spark: 32)
+    docs = docs.unionAll(docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 100_000))
+    assert substrings.dedup(docs).where("n_removed > 0").count()
+    files = [x.relative_to(tmp_path).parts for x in tmp_path.rglob("*") if x.is_file()]
+    assert not [x for x in files if x[-1].endswith(".crc")]
+    parts = Counter(x[0] for x in files if x[-1].startswith("part-") and x[0].startswith(("spans", "copies")))
+    assert parts and max(parts.values()) <= 8
+
+
 def test_archives_round_trip(spark):
     pages = [(5, "http://a/x", "<p>é</p>"), (3, "http://b", "<p>é</p>"), (9, None, None), (8, "u v", ""), (7, "http://c", "own")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
