@@ -50,6 +50,24 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch for Python, and the value that leaves the number of its rows (at most 10,000 by default) as its limit.
+BATCH_BYTES, NO_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1)
+
+
+def written_from_short_rows(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """:func:`written`, for plans that hand many rows of bounded size to Python.
+
+    Spark sums a batch's bytes anew for every row, which costs more than handing over a short row.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_BYTES)
+    conf.set(BATCH_BYTES, NO_LIMIT)
+    try:
+        return written(df, name, **options)
+    finally:
+        conf.set(BATCH_BYTES, before)
+
+
 def gathered(df: DataFrame) -> DataFrame:
     """``df`` in a quarter of the usual partitions: for short rows, of which each would be a small file."""
     return df.repartition(max(1, tasks(df.sparkSession) // 4))

@@ -9,10 +9,11 @@ must meet:
 
 1. Anchors. Of the ``GRAM``-byte strings in each window of LENGTH bytes the one with the least hash
    is an anchor (all of them, at a tie). Equal windows have equal anchors at equal places, so they
-   meet under the anchor's hash. Hashes that occur once are dropped.
-2. Around each anchor lies its context: the bytes that windows with this anchor can cover. Equal
-   contexts under one hash are summed up before anything is moved: all but the first are repeated
-   as a whole. The first of each go on, if their hash has several contexts.
+   meet under the anchor's hash.
+2. Around each anchor lies its context: the bytes that windows with this anchor can cover. Anchors
+   are looked for once, dealt by hash and sorted by hash and context, so that one pass tells them
+   apart: of equal contexts all but the first are repeated as a whole, the first of each go
+   on, if their hash has several contexts, and hashes that occur once are dropped.
 3. Contexts under one hash are a bucket. Parts of them that hold no string of LENGTH bytes twice
    are left out, parts that lie within an earlier document's part are repeated as a whole, and the
    suffixes of what is left in each bucket are sorted (:mod:`.suffix`: linear grouping by Lyndon prefixes). Neighbours in that order
@@ -35,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, U64, _powers, blocks, collected, discard, gathered, mix, tasks, utf8, written
+from .common import _BASE, _BYTE, U64, _powers, blocks, collected, gathered, mix, tasks, utf8, written, written_from_short_rows
 from .suffix import bucket_orders
 
 LENGTH, GRAM = 100, 40
@@ -46,6 +48,10 @@ LENGTH, GRAM = 100, 40
 BLOCK = 1 << 17
 #: Contexts of one hash that one bucket takes.
 HOT = 128
+#: Bits of an anchor's hash that make way for bits of its context's when both are sorted as one number.
+LOW = 20
+#: Repeated contexts that a worker holds before it hands on what they cover.
+COPIES = 1 << 17
 #: Bytes of contexts that are sorted together.
 SORTED_BYTES = 1 << 20
 _SIDE = LENGTH - GRAM
@@ -105,6 +111,18 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, h[at], ranges
 
 
+def _merge(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One span for those of a document that touch."""
+    order = np.lexsort((s, doc))
+    doc, s, e = doc[order], s[order], e[order]
+    fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
+    # ends so far within a document: a running maximum over a key that grows by document
+    part = np.cumsum(fresh)
+    far = np.maximum.accumulate(e + part * (1 << 40)) - part * (1 << 40)
+    at = np.flatnonzero(fresh | np.concatenate(([True], s[1:] > far[:-1])))
+    return doc[at], s[at], far[np.append(at[1:], len(doc)) - 1]
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """(h, c, doc, at, size): anchors with their contexts' hashes, starts and sizes."""
 
@@ -124,34 +142,83 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ANCHORS)
 
 
-def _hashes(docs: DataFrame) -> DataFrame:
-    """(h): anchors' hashes alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, offsets = utf8(b.column(0))
-            for i, j in blocks(offsets, BLOCK):
-                _, h, _ = anchors(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+def _low(c: np.ndarray) -> np.ndarray:
+    """The bits of contexts' hashes by which they are sorted."""
+    return c.view(U64) >> U64(64 - LOW)
 
-    return docs.select("text").mapInArrow(run, "h long")
 
+def _met(found: DataFrame) -> DataFrame:
+    """Contexts that go on and spans of those that don't, of ``found`` (h, c, doc, place and, for pieces, a and bytes).
 
-def _summed(found: DataFrame, place: str, *more: str) -> DataFrame:
-    """Per context: its first place, how often it occurs, and ``more`` that equal contexts share."""
-    return found.groupBy("h", "c").agg(F.min(F.struct("doc", place)).alias("first"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in more])
+    With k, how many contexts its hash has (HOT + 1 stands for all above HOT): the first place of
+    each context whose hash has several. With k 0: from the place to ``e``, what contexts cover that are not the
+    first of their kind, one row where they touch.
+    """
+    names, most = found.columns, HOT
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields) + ", k long, e int"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+        held = hot = None  # firsts of the last hash, which may have more; that hash, if it has too many for all to wait
+        copies: list[tuple[np.ndarray, ...]] = []
 
-def _copies(found: DataFrame, summed: DataFrame, place: str) -> DataFrame:
-    """Whole contexts that are not the first of their kind."""
-    twice = summed.where("n > 1").select("h", "c", "first")
-    return found.join(twice.hint("shuffle_hash"), ["h", "c"]).where((F.col("doc") != F.col("first.doc")) | (F.col(place) != F.col(f"first.{place}")))
+        def repeated() -> pa.RecordBatch:
+            doc, s, e = _merge(*(np.concatenate(x) for x in zip(*copies)))
+            copies.clear()
+            none = [pa.nulls(len(doc), x) for x in kinds]
+            return pa.RecordBatch.from_arrays([*none[:2], pa.array(doc), pa.array(s.astype(np.int32)), *none[4:], pa.array(np.zeros(len(doc), np.int64)), pa.array(e.astype(np.int32))], [*names, "k", "e"])
 
+        def going(firsts: pa.RecordBatch, k: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*firsts.columns, pa.array(k), pa.nulls(len(k), pa.int32())], [*names, "k", "e"])
 
-def _several(summed: DataFrame) -> DataFrame:
-    """First places of the contexts of hashes that have more than one, with that number."""
-    many = summed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    return summed.join(many.hint("shuffle_hash"), "h").select("h", "c", "first.*", *[c for c in summed.columns if c not in ("h", "c", "first", "n")], "k")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held is not None:
+                b = pa.concat_batches([held, b])
+            kinds = [x.type for x in b.columns]
+            h, c, doc, at = (np.asarray(b.column(i)) for i in range(4))
+            differ = h[1:] != h[:-1]
+            some = np.concatenate((~differ, [True])) | np.concatenate(([False], ~differ))  # and the last, for now
+            rows = np.flatnonzero(some if hot is None else some | (h == hot))
+            rows = rows[np.lexsort((at[rows], doc[rows], c[rows], h[rows]))]
+            own, kind = h[rows], c[rows]
+            new = np.ones(len(rows), bool)
+            new[1:] = (own[1:] != own[:-1]) | (kind[1:] != kind[:-1])
+            again, firsts, own = rows[~new], rows[new], own[new]
+            if len(again):
+                s = at[again].astype(np.int64)
+                if "bytes" in names:
+                    size = np.asarray(pc.binary_length(b.column(names.index("bytes")))).astype(np.int64)
+                    copies.append((doc[again], s, s + size[again]))
+                else:
+                    copies.append((doc[again], np.maximum(s - _SIDE, 0), s + LENGTH))
+                if sum(len(x[0]) for x in copies) >= COPIES:
+                    yield repeated()
+            cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            size = np.diff(np.append(cut, len(own)))
+            k = np.minimum(size, most + 1)
+            k[own[cut] == hot] = most + 1
+            wait = np.arange(len(own)) >= cut[-1]
+            if k[-1] > most:  # of too many, those wait that a later one can equal
+                hot = own[-1]
+                wait &= _low(c[firsts]) == _low(c[-1:])
+            held = b.take(pa.array(firsts[wait]))
+            k = np.repeat(k, size)
+            go = np.flatnonzero((k > 1) & ~wait)
+            if len(go):
+                yield going(b.take(pa.array(firsts[go])), k[go])
+        if held is not None:
+            k = most + 1 if held.column(0)[0].as_py() == hot else held.num_rows
+            if k > 1:
+                yield going(held, np.full(held.num_rows, k))
+        if copies:
+            yield repeated()
+
+    # one number orders hashes and, within each, contexts (by LOW bits of theirs): such a sort compares no rows
+    found = found.withColumn("h", F.col("h").bitwiseAND(F.lit(-1 << LOW)))
+    order = F.col("h").bitwiseOR(F.shiftrightunsigned("c", 64 - LOW))
+    return found.repartition(tasks(found.sparkSession), "h").sortWithinPartitions(order).mapInArrow(run, schema)
 
 
 def _cut(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -363,21 +430,10 @@ def spans(docs: DataFrame) -> DataFrame:
     """(doc, s, e): spans to remove of ``docs`` (doc, text); they may overlap."""
     spark = docs.sparkSession
     long = docs.where(F.octet_length("text") >= LENGTH)
-    found = _found(long)
-    often = written(_hashes(long).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
+    met = written(_met(_found(long)), "contexts")
     collected(spark)
-    # one row a key on the smaller side: hashed, so that the larger need not be sorted
-    found = written(found.join(often.hint("shuffle_hash"), "h").select("h", "c", "doc", "p"), "anchors")
-    discard(often)
-    collected(spark)
-    summed = written(_summed(found, "p"), "contexts")
-    collected(spark)
-    whole = _copies(found, summed, "p").select("doc", F.greatest(F.col("p") - _SIDE, F.lit(0)).alias("s"), (F.col("p") + LENGTH).alias("e"))
-    out = [written(gathered(_merged(whole)), "copies")]
-    discard(found)
-    collected(spark)
-    bytes_ = written(_cut(long, _several(summed)), "cut", compression="zstd")
-    discard(summed)
+    out = [met.where("k = 0").select("doc", F.col("p").alias("s"), "e")]
+    bytes_ = written(_cut(long, met.where("k > 0")), "cut", compression="zstd")
     collected(spark)
     out.append(written(gathered(_sorted_spans(bytes_.where(F.col("k") <= HOT))), "spans"))
     collected(spark)
@@ -385,46 +441,19 @@ def spans(docs: DataFrame) -> DataFrame:
     for starts in (8, 1):
         if hot.isEmpty():
             break
-        found = written(_pieces(hot, starts), "pieces", compression="zstd")
-        summed = written(_summed(found, "at", "a", "bytes"), "contexts", compression="zstd")
+        met = written_from_short_rows(_met(_pieces(hot, starts)), "contexts", compression="zstd")
         collected(spark)
-        again = _copies(found.select("h", "c", "doc", "at", F.octet_length("bytes").alias("size")), summed, "at")
-        out.append(written(gathered(_merged(again.select("doc", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e")))), "copies"))
-        discard(found)
-        collected(spark)
-        several = written(_several(summed), "cut", compression="zstd")
-        discard(summed)
+        out.append(met.where("k = 0").select("doc", F.col("at").alias("s"), "e"))
         # under one window's hash its contexts differ in the anchor's place alone: all of them go on
-        out.append(written(gathered(_sorted_spans(several.where(F.col("k") <= HOT) if starts > 1 else several)), "spans"))
+        out.append(written(gathered(_sorted_spans(met.where((F.col("k") > 0) & (F.col("k") <= HOT) if starts > 1 else F.col("k") > 0))), "spans"))
         collected(spark)
-        hot = several.where(F.col("k") > HOT)
+        hot = met.where(F.col("k") > HOT)
     spans_ = out[0]
     for x in out[1:]:
         spans_ = spans_.unionAll(x)
     return spans_
 
 
-def _merged(spans_: DataFrame) -> DataFrame:
-    """One row for spans of a document that touch, as far as a batch holds them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, s, e = (np.asarray(c).astype(np.int64) for c in b.columns)
-            if not len(doc):
-                continue
-            order = np.lexsort((s, doc))
-            doc, s, e = doc[order], s[order], e[order]
-            fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
-            # ends so far within a document: contexts are of like length, so a running maximum over a shifted key
-            part = np.cumsum(fresh)
-            far = np.maximum.accumulate(e + part * (1 << 40)) - part * (1 << 40)
-            head = fresh | np.concatenate(([True], s[1:] > far[:-1]))
-            at = np.flatnonzero(head)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(s[at]), pa.array(far[np.append(at[1:], len(doc)) - 1])], ["doc", "s", "e"])
-
-    return spans_.mapInArrow(run, SPANS)
-
-
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 

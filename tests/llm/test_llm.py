@@ -499,6 +499,41 @@ def test_substrings_equal_brute_force(docs, rows, hot):
     assert got == want and sum(v[1] for v in want.values()) > 1000
 
 
+def test_texts_are_searched_once_for_anchors(spark, docs):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    long = docs.where("doc_id is not null and octet_length(text) >= 100").selectExpr("doc_id as doc", "text")
+    assert substrings.spans(long.mapInArrow(counted, "doc long, text string")).count()
+    assert read.value == 2 * long.count()  # for anchors, then for the bytes around them
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_contexts_meet_whatever_the_batches(spark, size, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 5)
+    monkeypatch.setattr(substrings, "COPIES", 3)
+    one = 1 << substrings.LOW
+    r = random.Random(4)
+    rows = [(h * one, c << (64 - substrings.LOW + 2) | r.randrange(2), doc, 1000 * place) for h, kinds in ((-3, 1), (-2, 3), (1, 5), (2, 30), (5, 1), (6, 40)) for c in range(kinds) for doc in range(r.choice((1, 1, 4))) for place in range(2)]
+    rows += [(-9 * one, 7, 1, 0), (9 * one, 7, 1, 0)]
+    want = {}
+    for h, c, *at in rows:
+        want.setdefault(h, {}).setdefault(c, []).append(tuple(at))
+    firsts = sorted((h, c, *min(x), min(len(cs), 6)) for h, cs in want.items() for c, x in cs.items() if len(cs) > 1)
+    copies = Counter((d, max(p - 60, 0), p + 100) for cs in want.values() for x in cs.values() for d, p in set(x) - {min(x)})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = substrings._met(spark.createDataFrame(rows, substrings.ANCHORS)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((x["h"], x["c"], x["doc"], x["p"], x["k"]) for x in got if x["k"]) == firsts
+    assert {(x["doc"], x["p"], x["e"]) for x in got if not x["k"]} == set(copies)
+
+
 # op 7
 
 
