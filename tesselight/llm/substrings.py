@@ -124,7 +124,7 @@ def _merge(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """(h, c, doc, at, size): anchors with their contexts' hashes, starts and sizes."""
+    """Anchors with their contexts' hashes, as :func:`_spread` marks them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,12 +136,32 @@ def _found(docs: DataFrame) -> DataFrame:
                 text = np.searchsorted(o, at, "right") - 1
                 s, e = np.maximum(at - _SIDE, o[text]), np.minimum(at + LENGTH, o[text + 1])
                 c = mix(ranges(s, e) ^ (at - s).astype(U64))
-                place = (at - o[text]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[i:j][text]), pa.array(place)], ["h", "c", "doc", "p"])
+                doc = ids[i:j][text]
+                h, place = _spread(h, c, doc, (at - o[text]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.view(np.int64)), pa.array(doc), pa.array(place)], ["h", "c", "doc", "p"])
 
     return docs.mapInArrow(run, ANCHORS)
 
 
+def _spread(h: np.ndarray, c: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places as they are dealt: equal contexts (under equal hashes) but the first are marked by ~place.
+
+    They are repeated whatever else there is, so they need not meet any and go by a number of their
+    own: a context in each document is not dealt to one task as often as it occurs.
+    """
+    h, place = h.view(np.int64).copy(), place.copy()
+    key = h.view(U64) ^ (c.view(U64) * U64(0xD1342543DE82EF95))
+    if ((doc[1:] > doc[:-1]) | (doc[1:] == doc[:-1]) & (place[1:] >= place[:-1])).all():
+        order = np.argsort(key, kind="stable")
+    else:
+        order = np.lexsort((place, doc, key))
+    a, b = order[1:], order[:-1]
+    again = a[(h[a] == h[b]) & (c.view(np.int64)[a] == c.view(np.int64)[b])]
+    h[again] = mix(doc[again].astype(U64) * U64(0x9E3779B97F4A7C15) + place[again].astype(U64)).view(np.int64)
+    place[again] = ~place[again]
+    return h, place
+
+
 def _low(c: np.ndarray) -> np.ndarray:
     """The bits of contexts' hashes by which they are sorted."""
     return c.view(U64) >> U64(64 - LOW)
@@ -150,6 +170,7 @@ def _low(c: np.ndarray) -> np.ndarray:
 def _met(found: DataFrame) -> DataFrame:
     """Contexts that go on and spans of those that don't, of ``found`` (h, c, doc, place and, for pieces, a and bytes).
 
+    Rows with a place below 0 are repeated contexts already (see :func:`_spread`).
     With k, how many contexts its hash has (HOT + 1 stands for all above HOT): the first place of
     each context whose hash has several. With k 0: from the place to ``e``, what contexts cover that are not the
     first of their kind, one row where they touch.
@@ -162,6 +183,13 @@ def _met(found: DataFrame) -> DataFrame:
         held = hot = None  # firsts of the last hash, which may have more; that hash, if it has too many for all to wait
         copies: list[tuple[np.ndarray, ...]] = []
 
+        def repeat(b: pa.RecordBatch, rows: np.ndarray, at: np.ndarray) -> None:
+            s, doc = at.astype(np.int64), np.asarray(b.column(2))[rows]
+            if "bytes" in names:
+                copies.append((doc, s, s + np.asarray(pc.binary_length(b.column(names.index("bytes")))).astype(np.int64)[rows]))
+            else:
+                copies.append((doc, np.maximum(s - _SIDE, 0), s + LENGTH))
+
         def repeated() -> pa.RecordBatch:
             doc, s, e = _merge(*(np.concatenate(x) for x in zip(*copies)))
             copies.clear()
@@ -178,6 +206,13 @@ def _met(found: DataFrame) -> DataFrame:
                 b = pa.concat_batches([held, b])
             kinds = [x.type for x in b.columns]
             h, c, doc, at = (np.asarray(b.column(i)) for i in range(4))
+            marked = np.flatnonzero(at < 0)
+            if len(marked):
+                repeat(b, marked, ~at[marked])
+                b = b.take(pa.array(np.flatnonzero(at >= 0)))
+                if not b.num_rows:
+                    continue
+                h, c, doc, at = (np.asarray(b.column(i)) for i in range(4))
             differ = h[1:] != h[:-1]
             some = np.concatenate((~differ, [True])) | np.concatenate(([False], ~differ))  # and the last, for now
             rows = np.flatnonzero(some if hot is None else some | (h == hot))
@@ -187,14 +222,9 @@ def _met(found: DataFrame) -> DataFrame:
             new[1:] = (own[1:] != own[:-1]) | (kind[1:] != kind[:-1])
             again, firsts, own = rows[~new], rows[new], own[new]
             if len(again):
-                s = at[again].astype(np.int64)
-                if "bytes" in names:
-                    size = np.asarray(pc.binary_length(b.column(names.index("bytes")))).astype(np.int64)
-                    copies.append((doc[again], s, s + size[again]))
-                else:
-                    copies.append((doc[again], np.maximum(s - _SIDE, 0), s + LENGTH))
-                if sum(len(x[0]) for x in copies) >= COPIES:
-                    yield repeated()
+                repeat(b, again, at[again])
+            if sum(len(x[0]) for x in copies) >= COPIES:
+                yield repeated()
             cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             size = np.diff(np.append(cut, len(own)))
             k = np.minimum(size, most + 1)
@@ -260,10 +290,14 @@ def _pieces(hot: DataFrame, starts: int) -> DataFrame:
                         if first <= last:
                             core = data[a - far : a - far - starts + 1 + LENGTH]
                             rows.append((h, core, data[first : last + LENGTH], doc, at + first, a - first))
+                if not rows:
+                    continue
                 key = [int.from_bytes(hashlib.blake2b(core, digest_size=8, key=h.to_bytes(8, "little", signed=True)).digest(), "little", signed=True) for h, core, *_ in rows]
                 own = [int.from_bytes(hashlib.blake2b(r[2], digest_size=8, salt=r[5].to_bytes(2, "little")).digest(), "little", signed=True) for r in rows]
-                cols = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(own, pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32()), pa.array(cols[2], pa.binary())], ["h", "c", "doc", "at", "a", "bytes"])
+                _, _, cut, docs, places, a_ = zip(*rows)
+                own, docs = np.array(own, np.int64), np.array(docs, np.int64)
+                key, places = _spread(np.array(key, np.int64), own, docs, np.array(places, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(docs), pa.array(places), pa.array(a_, pa.int32()), pa.array(cut, pa.binary())], ["h", "c", "doc", "at", "a", "bytes"])
 
     return hot.select("h", "doc", "at", "a", "bytes").mapInArrow(run, PIECES)
 

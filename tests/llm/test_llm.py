@@ -512,6 +512,17 @@ def test_texts_are_searched_once_for_anchors(spark, docs):
     assert read.value == 2 * long.count()  # for anchors, then for the bytes around them
 
 
+def test_copies_of_a_text_are_not_dealt_to_one_task(spark):
+    text = words(random.Random(6), 60)
+    found = substrings._found(spark.createDataFrame([(i * 7 % 400, text) for i in range(400)], "doc long, text string").coalesce(1))
+    rows = [tuple(x) for x in found.collect()]
+    assert max(Counter(x[0] for x in rows).values()) < 10
+    assert sorted((d, p if p >= 0 else ~p) for _, _, d, p in rows) == sorted((d, p) for d in range(400) for p in {x[3] if x[3] >= 0 else ~x[3] for x in rows})
+    assert 0 in (left := {d for *_, d, p in rows if p >= 0}) and len(left) < 10
+    gone = substrings._met(found).collect()
+    assert {x["doc"] for x in gone if not x["k"]} == set(range(1, 400))
+
+
 @pytest.mark.parametrize("size", [1, 7, 1000])
 def test_contexts_meet_whatever_the_batches(spark, size, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", 5)
