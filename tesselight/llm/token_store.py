@@ -55,6 +55,8 @@ LEVEL = 1
 SEGMENT_BYTES = 2 << 20
 #: Words a worker remembers; beyond, it keeps those of at most SHORT bytes.
 CACHE_WORDS, SHORT = 1_000_000, 7
+#: Words whose ids are put in place at once.
+GATHERED = 1 << 18
 
 #: What the dictionary's file is called before its hash.
 DICTIONARY = "_dictionary-"
@@ -104,7 +106,7 @@ class TextEncoder:
 
 
 class WordEncoder(TextEncoder):
-    """The same ids, with each distinct word encoded once.
+    """The same ids, with each distinct word encoded once, and looked up once in each list of texts.
 
     For files that normalise by NFC, white space to blanks and small letters, then keep the runs of
     letters, single numbers, runs of marks and English endings as pieces, each encoded by itself:
@@ -145,12 +147,12 @@ class WordEncoder(TextEncoder):
         model = config["model"]
         return own and all(config[k] == v for k, v in _EXPECTED.items()) and config["post_processor"] is None and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes], plain: bool) -> None:
         small, other, rest = [], [], []
         for w in words:
             if w.isalpha() and w.islower():  # of bytes: a-z
                 small.append(w)
-            elif not _BEYOND.search(w) and w.decode().isalpha():
+            elif (plain or not _BEYOND.search(w)) and w.decode().isalpha():
                 other.append(w)
             else:
                 rest.append(w)
@@ -166,24 +168,55 @@ class WordEncoder(TextEncoder):
                 self.known.update(zip(chunk, [flat[a:b] for a, b in zip([0, *cut], cut)]))
         self.known.update(zip(rest, super().encode(rest)))
 
+    def _know(self, new: list[bytes], plain: bool) -> None:
+        """Learn words; ``plain``: none holds what :meth:`encode` does not fold."""
+        known, marked = self.known, {}
+        for w in new:
+            stem = w.rstrip(_MARKS)
+            if len(stem) < len(w) and (plain or not _BEYOND.search(stem) and b"<|" not in w) and (stem[-1:].isalpha() or stem.decode()[-1:].isalpha()):
+                marked[w] = (stem, w[len(stem) :])
+        parts = {x for pair in marked.values() for x in pair}
+        self._learn([w for w in parts.union(new).difference(marked) if w not in known], plain)
+        for w, (stem, marks) in marked.items():
+            known[w] = known[stem] + known[marks]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:  # short words come back most
             self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
         known = self.known
-        cut = [(t.replace(b"\n", b" ") if b"<|" in t or _BEYOND.search(t) else t.translate(_FOLD)).split(b" ") for t in texts]
-        new = set().union(*cut).difference(known)
+        whole = b" ".join([*texts, b""])  # each word, a text's last too, has a blank behind it
+        if not whole:
+            return []
+        plain = b"<|" not in whole and b"\xc4\xb0" not in whole and int(np.frombuffer(whole, np.uint8).max()) < 0xCC
+        if plain:
+            whole = whole.translate(_FOLD)
+        else:
+            whole = b" ".join([*(t.replace(b"\n", b" ") if b"<|" in t or _BEYOND.search(t) else t.translate(_FOLD) for t in texts), b""])
+        end = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32) + 1
+        at = np.concatenate(([0], end))
+        found = pa.Array.from_buffers(pa.large_binary(), len(end), [None, pa.py_buffer(at), pa.py_buffer(whole)]).dictionary_encode()
+        _, to, data = found.dictionary.buffers()
+        words = data[: int(np.frombuffer(to, np.int64, len(found.dictionary) + 1)[-1])].to_pybytes().split(b" ")[:-1]
+        ids = list(map(known.get, words))
+        new = [i for i, x in enumerate(ids) if x is None]
         if new:
-            marked = {}
-            for w in new:
-                stem = w.rstrip(_MARKS)
-                if len(stem) < len(w) and not _BEYOND.search(stem) and stem.decode()[-1:].isalpha() and b"<|" not in w:
-                    marked[w] = (stem, w[len(stem) :])
-            parts = {x for pair in marked.values() for x in pair}
-            self._learn([w for w in new.difference(marked).union(parts) if w not in known])
-            for w, (stem, marks) in marked.items():
-                known[w] = known[stem] + known[marks]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+            self._know([words[i] for i in new], plain)
+            for i in new:
+                ids[i] = known[words[i]]
+        # each distinct word's ids once, then for each word of the texts
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        first, word = np.cumsum(size) - size, found.indices.to_numpy()
+        stop = np.cumsum(size[word])
+        parts = []
+        for i in range(0, len(word), GATHERED):
+            w = word[i : i + GATHERED]
+            many = size[w]
+            to = np.cumsum(many)
+            parts.append(flat[np.repeat(first[w] - to + many, many) + np.arange(to[-1])].tobytes())
+        raw = b"".join(parts)
+        cut = (4 * stop[np.searchsorted(end, np.cumsum([len(t) + 1 for t in texts]))]).tolist()
+        return [raw[a:b] for a, b in zip([0, *cut], cut)]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

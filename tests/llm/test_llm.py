@@ -317,6 +317,28 @@ def test_word_encoder_equals_the_tokenizer():
     check(["".join(r.choice(pool) for _ in range(r.randint(1, 40))) for _ in range(20_000)])
 
 
+def test_words_are_looked_up_once_a_block(monkeypatch):
+    class Counted(dict):
+        looked = 0
+
+        def __getitem__(self, k):
+            Counted.looked += 1
+            return super().__getitem__(k)
+
+        def get(self, k):
+            Counted.looked += 1
+            return super().get(k)
+
+    path = token_store.vocabulary()
+    e, plain = token_store.WordEncoder(path), token_store.TextEncoder(path)
+    texts = [b"The cat, the  dog and\nan \xc3\xa9t\xc3\xa9. " * 3000, b"", b" ", b"the dog! "]
+    e.known = Counted()
+    want = plain.encode(texts)
+    assert e.encode(texts) == want and e.encode(texts) == want and Counted.looked < 100
+    monkeypatch.setattr(token_store, "GATHERED", 7)
+    assert e.encode(texts) == want and e.encode([]) == [] and e.encode([b""]) == [b""]
+
+
 def test_other_tokenizers_read_whole_texts(tmp_path):
     import json
 
